@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: A word, as all word counts here take it.
@@ -39,9 +38,10 @@ class Workspace:
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -102,7 +102,3 @@ def hot_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: in
     hot, cold = table.where(F.col(n) >= least).drop(n), table.where(F.col(n) < least).drop(n)
     among = F.broadcast(hot)
     return rows.join(among, on, "inner").unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
-
-
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "kd_sharding",
+    "line_dedup",
     "source_mixing",
 )
 
