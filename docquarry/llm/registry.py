@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "kd_sharding",
+    "best_fit_packing",
     "line_dedup",
     "source_mixing",
 )
