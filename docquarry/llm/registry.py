@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "kd_sharding",
+    "simhash_dedup",
     "best_fit_packing",
     "line_dedup",
     "source_mixing",
