@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "secret_scan",
     "kd_sharding",
     "simhash_dedup",
     "best_fit_packing",
