@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "language_id",
     "secret_scan",
     "kd_sharding",
     "simhash_dedup",
