@@ -9,6 +9,7 @@ MODULES = (
     "secret_scan",
     "kd_sharding",
     "simhash_dedup",
+    "matroska",
     "best_fit_packing",
     "line_dedup",
     "source_mixing",
