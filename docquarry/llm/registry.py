@@ -13,6 +13,7 @@ MODULES = (
     "best_fit_packing",
     "line_dedup",
     "source_mixing",
+    "additive_quantisation",
 )
 
 
