@@ -9,6 +9,7 @@ MODULES = (
     "secret_scan",
     "kd_sharding",
     "simhash_dedup",
+    "quotation_links",
     "matroska",
     "best_fit_packing",
     "line_dedup",
