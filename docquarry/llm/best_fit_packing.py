@@ -11,8 +11,10 @@ are numbered within their length and look their place up.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +32,20 @@ SEQ_LEN, END = 4096, 1
 GROUPS, LARGE = (6, 12, 24), 8
 #: Cells that the pieces of a length are numbered in.
 SALTS = 64
-#: Entries of a worker's caches before they are emptied.
-CACHED = 200_000
-#: Longer words are not cached.
-LONG = 64
-#: Punctuation that may end a word and is a token run of its own.
-TAIL = ".,;:!?"
+#: Entries of a worker's cache before it becomes the old one; longer words are not cached.
+CACHED, LONG = 400_000, 64
+#: Texts that are not taken apart: letters whose small forms depend on more than themselves, and runs of punctuation.
+ODD = re.compile("[^\\x00-\u012f]|[^\\w\\s][.,]|_[.,]")
 
 
 class Encoder:
-    """Token ids as bytes, with caches of words.
+    """Token ids as bytes, with a cache of words.
 
     The vocabulary's rules split at white space first, and a run of letters is one word, so a text's
-    ids are those of its words in a row. Only plain words are joined for encoding, to be cut at the
-    tokens that end a word; all else goes through the tokenizer as it is.
+    ids are those of its words in a row. Commas and full stops after a word are words of their own;
+    a text where that could be otherwise goes through the tokenizer as it is. New words are joined
+    for encoding and cut at the tokens that end a word. A full cache becomes the old one, from which
+    what is still used is taken over.
     """
 
     def __init__(self, path: str):
@@ -52,71 +54,65 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.last = frozenset(i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>"))
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_words(self, words: list[str]) -> None:
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for i in range(0, len(words), 5000):
-            part, run, k = words[i : i + 5000], [], 0
-            for token in self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids:
-                run.append(token)
+            part, begin, k = words[i : i + 5000], 0, 0
+            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            data = array("I", ids).tobytes()
+            for at, token in enumerate(ids, 1):
                 if token in self.last:
-                    self.words[part[k]] = array("I", run).tobytes()
-                    k, run = k + 1, []
+                    out[part[k]] = data[4 * begin : 4 * at]
+                    k, begin = k + 1, at
             if k != len(part):
                 raise ValueError("the vocabulary does not mark the ends of words")
+        return out
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) + len(chunks) > CACHED:
-            self.chunks = {}
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all these words, none of which is in the cache."""
+        old = self.old
+        found = {w: old[w] for w in words if w in old}
+        words = words - found.keys() if found else words
+        other = [w for w in words if not w.isalpha()]
+        found |= self.word_ids([w for w in words if w.isalpha()])
+        found |= zip(other, self.ids(other), strict=True)
+        self.words |= {w: x for w, x in found.items() if len(w) <= LONG}
         if len(self.words) > CACHED:
-            self.words = {}
-        plain, other = [], []
-        for chunk in chunks:
-            core = chunk.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < "İ"):
-                plain.append((chunk, core.lower(), chunk[len(core) :]))
-            else:
-                other.append(chunk)
-        for i in range(0, len(other), 5000):
-            self.chunks |= zip(other[i : i + 5000], self.ids(other[i : i + 5000]), strict=True)
-        self.learn_words(list({word for _, word, _ in plain if word not in self.words}))
-        new = list({tail for _, _, tail in plain if tail and tail not in self.tails})
-        if len(self.tails) + len(new) > CACHED:
-            self.tails, new = {}, list({tail for _, _, tail in plain if tail})
-        self.tails |= zip(new, self.ids(new), strict=True)
-        self.chunks |= {chunk: self.words[word] + (self.tails[tail] if tail else b"") for chunk, word, tail in plain}
+            self.old, self.words = self.words, {}
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            different = set(chunks)
-            long = [c for c in different if len(c) > LONG]
-            if len(different) > CACHED // 2:  # its words alone would push each other out
-                out.append(self.ids([text])[0])
-                continue
-            extra = dict(zip(long, self.ids(long), strict=True)) if long else {}
-            while new := [c for c in different if c not in self.chunks and c not in extra]:  # again only after the cache was emptied
-                self.learn(new)
-            if extra:
-                out.append(b"".join([extra[c] if c in extra else self.chunks[c] for c in chunks]))
-            else:
-                out.append(b"".join(map(self.chunks.__getitem__, chunks)))
+        odd = [i for i, text in enumerate(texts) if ODD.search(text)]
+        lists = [(text + " ").lower().replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ") for text in texts]
+        for i in odd:
+            lists[i] = []
+        parts = [list(map(self.words.get, words)) for words in lists]
+        new = {w for words, found in zip(lists, parts, strict=True) if None in found for w, x in zip(words, found, strict=True) if x is None}
+        learned = self.learn(new) if new else {}
+        out = [b"".join([learned[w] if x is None else x for w, x in zip(words, found, strict=True)] if None in found else found) for words, found in zip(lists, parts, strict=True)]
+        for i, data in zip(odd, self.ids([texts[i] for i in odd]), strict=True):
+            out[i] = data
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def tokenise(path: str, seq_len: int, end: int):
     """(doc_id, text) to (doc_id, piece, start, length, ids): 32-bit ids, cut every seq_len."""
     last = array("I", [end]).tobytes()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
