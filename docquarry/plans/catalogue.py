@@ -208,8 +208,8 @@ CATALOGUE: dict[str, tuple[Callable, str]] = {
     "f_exists_false": (find({"event_type": {"$exists": False}}, nulls=True), event_sql("event_type IS NULL", True)),
     "f_type_number": (find({"value": {"$type": "number"}, "event_type": {"$type": 2}}, nulls=True), event_sql("event_type IS NOT NULL", True)),
     "f_type_bracket": (find({"$or": [{"value": {"$gt": "x"}}, {"event_type": {"$lt": 5}}, {"event_id": 3}]}), event_sql("event_id = 3")),
-    "f_all": (lambda s, d: matching(words(s, d), {"words": {"$all": [w for w in ("red", "steel")]}}).select("p_partkey"), "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_name, ' '), ['red', 'steel'])"),
-    "f_array_eq": (lambda s, d: matching(words(s, d), {"words": {"$nin": ["red", "blue"]}}).select("p_partkey"), "SELECT p_partkey FROM part WHERE NOT list_has_any(string_split(p_name, ' '), ['red', 'blue'])"),
+    "f_all": (lambda s, d: matching(words(s, d), {"words": {"$all": ["hot", "plate"]}}).select("p_partkey"), "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_name, ' '), ['hot', 'plate'])"),
+    "f_array_eq": (lambda s, d: matching(words(s, d), {"words": {"$nin": ["red", "hot"]}}).select("p_partkey"), "SELECT p_partkey FROM part WHERE NOT list_has_any(string_split(p_name, ' '), ['red', 'hot'])"),
     "f_size": (lambda s, d: matching(table(s, d, "pages").withColumn("parts", F.split("url", "/")), {"parts": {"$size": 5}}).select("page_id"), "SELECT page_id FROM pages WHERE len(string_split(url, '/')) = 5"),
     "f_elem_match": (elements, "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.25 AND x < 0.3)) > 0"),
     "f_elem_match_struct": (struct_elements, event_sql("value * 2 > 60 AND event_type = 'click'")),
