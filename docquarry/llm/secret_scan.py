@@ -139,6 +139,10 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_of(found: Column, kind: int) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """spans() with models trained from the documents themselves and from made random strings."""
     return spans(docs, train(random_strings(docs.sparkSession), ordinary_words(docs)), keep)
@@ -146,6 +150,6 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
-    numbers = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    numbers = [count_of(F.col("found"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
     base = F.sha2(listed(F.filter("found", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *numbers, base, listed(F.col("found")).alias("spans"))
