@@ -16,6 +16,7 @@ from docquarry.functions.mixed import mixed_case
 from docquarry.operators import buckets
 from docquarry.operators.ordering import normalise, orders
 from docquarry.plans.collection import Collection
+from docquarry.sources.cache import shared_folder
 
 UTC = dt.UTC
 LOW, HIGH = dt.datetime(2024, 1, 5, tzinfo=UTC), dt.datetime(2024, 1, 15, tzinfo=UTC)
@@ -140,7 +141,7 @@ def callback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/docquarry-results'}/results"
+    root = f"{shared_folder(spark)}/results"
     return collection(spark, sf_dir, "events").find({"event_type": "view", "value": {"$lt": 20}}, {"ts": 1, "event_id": 1, "value": 1}).cached(root, cache_read=False).select("event_id", "ts", "value")
 
 

@@ -79,6 +79,10 @@ class Cursor:
         self._batch_size = n
         return self
 
+    def raw_cursor(self) -> DataFrame:
+        """The plan itself."""
+        return self.to_df()
+
     def clone(self) -> Cursor:
         return Cursor(self.collection, self.query, self.projection, self._skip, self._limit, self._sort, self._batch_size)
 
@@ -255,11 +259,17 @@ class Cursor:
                 df.unpersist()
         return found | {"cache_duration_s": spent, "duration_s": time.time() - began}
 
-    def explain(self, plan: bool = True) -> dict:
-        """How the query is classified, and Spark's plan for it."""
+    def explain(self, plan: bool = True, max_workers: int = 4, chunking_granularity: dt.timedelta | None = None, row_group_size: int | None = None, flush_ram_limit_mb: int = 512) -> dict:
+        """How the query is classified, what the settings come to, and Spark's plan for it.
+
+        workers is how many time chunks could be fetched at once; Spark's own tasks don't depend on it.
+        """
+        if chunking_granularity is not None and chunking_granularity <= dt.timedelta(0):
+            raise ValueError("chunking_granularity must be positive")
         found = classify(self.query, self.collection.schema.time_field, self._sort)
         bounds = found.bounds
         whole = bounds is not None and bounds.bounded and not bounds.empty
+        n_chunks = len(chunks(bounds.low, bounds.high, chunking_granularity or dt.timedelta(days=1))) if whole else 0
         out = {
             "filter": self.query,
             "projection": self.projection or None,
@@ -271,7 +281,8 @@ class Cursor:
             "reason": found.reason,
             "mode": found.mode,
             "time_bounds": (bounds.low, bounds.high) if whole else None,
-            "estimated_chunks": len(chunks(bounds.low, bounds.high)) if whole else 0,
+            "estimated_chunks": n_chunks,
+            "settings": {"max_workers": max_workers, "workers": min(max_workers, n_chunks) if found.mode == PARALLEL else 1, "chunking_granularity": chunking_granularity, "row_group_size": row_group_size, "flush_ram_limit_mb": flush_ram_limit_mb},
             "branches": len(found.branches),
         }
         if plan and found.mode != REJECT:

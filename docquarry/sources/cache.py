@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,15 @@ def fingerprint(source: str, schema: Schema, query: object, projection: object =
     return hashlib.sha256(json.dumps(canonical(parts), sort_keys=True).encode()).hexdigest()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors; in local mode, a temporary one if it names none."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return root or tempfile.mkdtemp(prefix="docquarry-")
+
+
 class ResultCache:
     def __init__(self, spark: SparkSession, root: str, key: str):
         self.spark, self.path = spark, f"{root.rstrip('/')}/{key}"

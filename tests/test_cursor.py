@@ -122,6 +122,8 @@ def test_explain(sensors):
     out = sensors.find({"t": {"$gte": T0, "$lt": T0 + 48 * HOUR}, "$or": [{"meta.n": 1}, {"meta.n": 2}]}, limit=3).explain()
     assert out["mode"] == "parallel" and out["estimated_chunks"] == 2 and out["branches"] == 2 and "Physical Plan" in out["plan"]
     assert sensors.find({"meta.n": 1}).explain(plan=False)["mode"] == "single"
+    some = sensors.find({"t": {"$gte": T0, "$lt": T0 + 15 * 24 * HOUR}}).explain(plan=False, max_workers=10, chunking_granularity=dt.timedelta(days=7))
+    assert some["estimated_chunks"] == some["settings"]["workers"] == 3
     with pytest.raises(ValueError):
         sensors.find({}).to_dataframe(chunking_granularity=dt.timedelta(0))
 
