@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import BROADCAST_ROWS, Workspace, ranked
+from docquarry.llm.common import BROADCAST_ROWS, Workspace, attach, ranked, with_row_id
 
 NAME = "op7_best_fit_packing"
 SQL = None  # SQL has no tokenizer: held against the tokenizer and a lower bound in the tests
@@ -32,10 +32,11 @@ SEQ_LEN, END = 4096, 1
 GROUPS, LARGE = (6, 12, 24), 8
 #: Cells that the pieces of a length are numbered in.
 SALTS = 64
-#: Entries of a worker's cache before it becomes the old one; longer words are not cached.
-CACHED, LONG = 400_000, 64
-#: Texts that are not taken apart: letters whose small forms depend on more than themselves, and runs of punctuation.
-ODD = re.compile("[^\\x00-\u012f]|[^\\w\\s][.,]|_[.,]")
+#: Entries of a worker's cache before it becomes the old one; longer words are not kept.
+CACHED, LONG = 300_000, 64
+#: Texts that are not taken apart: those with letters whose small forms depend on more than themselves, and with runs of punctuation.
+FAR = re.compile("[^\\x00-\u012f]")
+RUN = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])")
 
 
 class Encoder:
@@ -74,30 +75,30 @@ class Encoder:
                 raise ValueError("the vocabulary does not mark the ends of words")
         return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of all these words, none of which is in the cache."""
+    def learn(self, words: set[str]) -> None:
         old = self.old
         found = {w: old[w] for w in words if w in old}
         words = words - found.keys() if found else words
-        other = [w for w in words if not w.isalpha()]
-        found |= self.word_ids([w for w in words if w.isalpha()])
-        found |= zip(other, self.ids(other), strict=True)
-        self.words |= {w: x for w, x in found.items() if len(w) <= LONG}
-        if len(self.words) > CACHED:
-            self.old, self.words = self.words, {}
-        return found
+        plain = [w for w in words if w.isalpha()]
+        other = list(words.difference(plain))
+        self.words |= found
+        self.words |= self.word_ids(plain)
+        self.words |= zip(other, self.ids(other), strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, text in enumerate(texts) if ODD.search(text)]
+        odd = [i for i, text in enumerate(texts) if RUN.search(text) or not (text.isascii() or not FAR.search(text))]
         lists = [(text + " ").lower().replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ") for text in texts]
         for i in odd:
             lists[i] = []
-        parts = [list(map(self.words.get, words)) for words in lists]
-        new = {w for words, found in zip(lists, parts, strict=True) if None in found for w, x in zip(words, found, strict=True) if x is None}
-        learned = self.learn(new) if new else {}
-        out = [b"".join([learned[w] if x is None else x for w, x in zip(words, found, strict=True)] if None in found else found) for words, found in zip(lists, parts, strict=True)]
+        different = set().union(*lists)
+        if len(self.words) > CACHED:
+            self.old, self.words = self.words, {}
+        self.learn(different.difference(self.words))
+        out = [b"".join(map(self.words.__getitem__, words)) for words in lists]
         for i, data in zip(odd, self.ids([texts[i] for i in odd]), strict=True):
             out[i] = data
+        for word in [w for w in different if len(w) > LONG]:
+            del self.words[word]
         return out
 
 
@@ -287,18 +288,19 @@ def pack(docs: DataFrame, tokenizer_path: str, payload: Column | None = None, se
     named = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
     pieces = named.mapInArrow(tokenise(tokenizer_path, seq_len, end), f"doc_id {kind}, piece int, start long, length long, ids binary")
-    pieces = ws.save(pieces.select("doc_id", "piece", "start", "length", (F.col("ids") if payload is None else payload).alias("payload")), "pieces")
+    pieces = ws.save(with_row_id(pieces.select("doc_id", "piece", "start", "length", (F.col("ids") if payload is None else payload).alias("payload"))), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # seq_len rows at most
     plan = plan_packing(counts, seq_len)
     places = spark.createDataFrame(plan.places, "length long, low long, high long, first long, offset long")
     if len(plan.places) <= BROADCAST_ROWS:
         places = F.broadcast(places)
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    numbered = ranked(pieces.withColumn("salt", salt), ["length"], ["salt"], ["doc_id", "piece"], "rank")
+    narrow = pieces.select("_rid", "doc_id", "piece", "length", salt.alias("salt"))
+    numbered = ranked(narrow, ["length"], ["salt"], ["doc_id", "piece", "_rid"], "rank")
     inside = (F.col("rank") >= places["low"]) & (F.col("rank") < places["high"])
-    placed = numbered.join(places, (numbered["length"] == places["length"]) & inside).drop(places["length"])
-    sequence = (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id")
-    return placed.select("doc_id", "piece", "start", "length", "payload", sequence, "offset")
+    placed = numbered.join(places, (numbered["length"] == places["length"]) & inside)
+    found = placed.select("_rid", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    return attach(pieces, found).drop("_rid")
 
 
 def tokenizer_path() -> str:

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,14 +70,37 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def slices(batches, n: int = 1000):
+    """Arrow batches in pieces of n rows, so that what is made of long texts stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, n):
+            yield batch.slice(low, n)
+        pool = pa.default_memory_pool()
+        pool.release_unused()
+
+
+def attach(rows: DataFrame, found: DataFrame, on: str = "_rid") -> DataFrame:
+    """rows with the columns of found, a row for each number of rows at most. Only the narrow side is hashed; wide rows are not sorted."""
+    return rows.join(found.hint("shuffle_hash"), on)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def cell_offsets(cells: DataFrame, group: list[str], order: list[str], count: str = "n") -> DataFrame:
-    """Adds to each cell of a group how many rows its group has in earlier cells (base)."""
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumn("base", F.coalesce(F.sum(count).over(before), F.lit(0)))
+    """Adds to each cell of a group how many rows its group has in earlier cells (base).
+
+    With two columns of order, the first one's sums are added up over the group and the cells within
+    each of its values, so no task gets all cells of a group.
+    """
+    inner = Window.partitionBy(*group, *order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    within = cells.withColumn("base", F.coalesce(F.sum(count).over(inner), F.lit(0)))
+    if len(order) == 1:
+        return within
+    outer = cells.groupBy(*group, *order[:-1]).agg(F.sum(count).alias(count))
+    above = cell_offsets(outer, group, order[:-1], count).withColumnRenamed("base", "_above").drop(count)
+    return within.join(above, [*group, *order[:-1]]).withColumn("base", F.col("base") + F.col("_above")).drop("_above")
 
 
 def ranked(rows: DataFrame, group: list[str], cell: list[str], order: list, name: str) -> DataFrame:

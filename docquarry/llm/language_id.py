@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.llm.common import slices
+
 NAME = "op1_language_id"
 SQL = None  # vectors and clusters: held-out accuracy is tested
 
@@ -173,7 +175,7 @@ def predict(model: Model, text_at: int, names: list[str]):
 
     def run(batches):
         features = Features()
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, rejected = [], [], []
             for text in batch.column(text_at):
                 v = features.vector(text.as_py(), model.idf) if model.languages else None

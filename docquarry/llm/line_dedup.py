@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import Workspace, hot_join
+from docquarry.llm.common import Workspace, hot_join, slices
 
 NAME = "op8_line_dedup"
 
@@ -43,7 +43,7 @@ def hash_lines(least: int):
     """(doc_id, text) to (doc_id, h1, h2): the different keys of each document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             digests, at = [], []
             for i, text in enumerate(batch.column(1).cast(pa.binary())):
                 if data := text.as_py():
@@ -63,7 +63,7 @@ def drop_lines(least: int, text_at: int, names: list[str]):
     """Rows with a list of dropped hashes last: takes the lines out of the text and counts them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, lines, dropped = [], [], []
             drops = batch.column(batch.num_columns - 1)
             for text, gone in zip(batch.column(text_at), drops, strict=True):

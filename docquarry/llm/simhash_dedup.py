@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import BROADCAST_ROWS, Workspace, hot_join, with_row_id
+from docquarry.llm.common import BROADCAST_ROWS, Workspace, hot_join, slices, with_row_id
 
 NAME = "op4_simhash_dedup"
 SQL = None  # SQL has no XXH64: held against brute force in the tests
@@ -56,7 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def add_fingerprints(text_at: int, names: list[str]):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             prints = pa.array([fingerprint(t.as_py()) for t in batch.column(text_at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names)
 
@@ -151,8 +151,8 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
     now, k = signature(edges), 0
     while now[0]:
-        moved = ws.save(star(edges, now[0], large=True), f"large{k}")
-        edges = ws.save(star(moved, now[0], large=False), f"small{k}")
+        moved = ws.save(star(edges, now[0], large=True), f"stars/large{k}")
+        edges = ws.save(star(moved, now[0], large=False), f"stars/small{k}")
         before, now, k = now, signature(edges), k + 1
         if now == before:
             break
@@ -170,7 +170,9 @@ def linked(ws: Workspace, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     labelled = ws.save(nodes.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print")), "labelled")
     sums = labelled.groupBy("label").agg(F.min("first").alias("chosen"), F.count(F.lit(1)).alias("members"))
     out = hot_join(labelled, sums, ["label"], "members", labelled.count())
-    return ws.save(out.select("print", "n", F.col("chosen.doc_id").alias("component_id"), F.col("chosen._rid").alias("keep")), "linked")
+    out = ws.save(out.select("print", "n", F.col("chosen.doc_id").alias("component_id"), F.col("chosen._rid").alias("keep")), "linked")
+    ws.drop("nodes", "buckets", "members", "middles", "edges", "stars", "labelled")
+    return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, ws: Workspace | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.llm.common import WORD, Workspace, cell_offsets, ranked, word_count
+from docquarry.llm.common import WORD, Workspace, attach, cell_offsets, ranked, with_row_id, word_count
 
 NAME = "op9_source_mixing"
 
@@ -71,26 +71,31 @@ def systematic_mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGH
     """
     ws = ws or Workspace(docs.sparkSession, "mix")
     keep = docs.columns if keep is None else keep
-    sized = docs.select(
-        F.struct(*[docs[c].alias(c) for c in keep]).alias("kept"),
-        word_count(docs["text"]).alias("size"),
-        docs["source"].isNull().alias("source_null"),
-        F.coalesce(docs["source"], F.lit("")).alias("source_key"),
-        docs["doc_id"].alias("id"),
+    wide = "text" in keep
+    rows = with_row_id(docs.select(F.struct(*[docs[c].alias(c) for c in keep]).alias("kept"), docs["text"].alias("text"), docs["source"].alias("source"), docs["doc_id"].alias("id")))
+    if wide:  # texts stay where they are until the copies are known
+        rows = ws.save(rows.drop("text"), "rows").withColumn("text", F.col("kept.text"))
+    sized = rows.select(
+        *(["_rid"] if wide else ["kept"]),
+        word_count(F.col("text")).alias("size"),
+        F.col("source").isNull().alias("source_null"),
+        F.coalesce("source", F.lit("")).alias("source_key"),
+        "id",
+        *([F.xxhash64("text").alias("text_hash")] if wide else []),
     )
-    if "text" not in keep:
-        sized = ws.save(sized, "sized")
+    sized = ws.save(sized, "sized")
     targets = source_targets(ws, sized, weights, share, most)
     cells = sized.withColumn("band", size_band(F.col("size"))).withColumn("salt", F.pmod(F.coalesce("id", F.lit(0)), F.lit(SALTS)).cast("int"))
     order = [F.col("size").desc(), F.col("id").asc_nulls_first()]
-    if "text" in keep:
-        order.append(F.xxhash64("kept.text"))
+    if wide:
+        order.append(F.col("text_hash"))
     i = ranked(cells, ["source_null", "source_key"], ["band", "salt"], order, "i")
     joined = i.join(targets, ["source_null", "source_key"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = offset(F.when(~F.col("source_null"), F.col("source_key")))
     copies = (F.floor(rate * (F.col("i") + 1) + start) - F.floor(rate * F.col("i") + start)).cast("long")
-    return joined.select("kept.*", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    out = joined.select("_rid" if wide else "kept", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return (attach(rows.select("_rid", "kept"), out).drop("_rid") if wide else out).select("kept.*", "size", "source_size", "target", "copies", "taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
