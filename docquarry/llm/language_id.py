@@ -26,7 +26,7 @@ DIMENSIONS = 8192
 #: The most sampled documents of a language, centroids of a language, rounds of k-means, languages.
 PER_LANGUAGE, CENTROIDS, ROUNDS, LANGUAGES = 400, 4, 12, 500
 #: A document is rejected below this part of the smallest cosine in the sample; the largest richness.
-REJECT, RICHEST = 0.6, DIMENSIONS.bit_length()
+REJECT, RICHEST = 0.4, DIMENSIONS.bit_length()
 UNKNOWN = "und"
 #: Longest n-gram; odd factors that mix 32-bit codes.
 ORDERS, SPACE = 3, 32

@@ -196,7 +196,7 @@ def dedup(docs: DataFrame, radius: int = RADIUS, ws: Workspace | None = None) ->
     kept = ws.save(with_row_id(with_fingerprint(named, docs.columns.index("text"), "print")), "documents")
     prints = kept.select("_rid", F.col(f"_{docs.columns.index('doc_id')}").alias("doc_id"), "print")
     chosen = linked(ws, prints, radius).select(F.col("keep").alias("_rid")).distinct()
-    return kept.join(chosen, "_rid", "left_semi").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.join(chosen.hint("shuffle_hash"), "_rid", "left_semi").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
