@@ -5,7 +5,7 @@ trained on a bounded sample: k-means on residuals, then rounds of beam-search en
 squares. Every row is encoded by beam search and stored with its codes and its norm; as the measure
 is linear, the norm scales a reconstruction to the length of what it stands for. A query makes one
 table of its inner products with all codewords, a row's score is a sum of BOOKS entries, and the best
-rows of each block are reranked with their original vectors.
+rows of each block, a fixed share of it, are reranked with their original vectors.
 
 Queries and rows meet block by block: a grid of cells, each of which holds at most ROW_BLOCK rows and
 QUERY_BLOCK queries. Equal vectors of a block are scored once, so a group of copies, however large,
@@ -30,8 +30,10 @@ BOOKS, WORDS, BEAM = 8, 256, 8
 SAMPLE, ROUNDS, REFINE = 8192, 8, 2
 #: Blocks of rows and queries that meet in one task, and the fewest blocks of rows.
 ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 65_536, 16_384, 12
-#: Different vectors of a block that are reranked for a query; neighbours returned; one in so many ids is a query.
+#: The fewest different vectors of a block that are reranked for a query; neighbours returned; one in so many ids is a query.
 RERANK, K, EVERY = 96, 20, 20
+#: One in so many different vectors of a block is reranked, so that the depth grows with the block.
+SHARE = 8
 #: Queries that are scored at a time.
 AT_A_TIME = 256
 
@@ -142,7 +144,7 @@ def search_cell(books: list[np.ndarray], k: int, rerank: int):
         words = np.concatenate(books)
         offsets = np.cumsum([0, *[len(b) for b in books]])[:-1]
         out: list[list] = [[], [], []]
-        take = min(rerank, len(unique))
+        take = min(max(rerank, -(-len(unique) // SHARE)), len(unique))
         for low in range(0, len(q), AT_A_TIME):
             table = q[low : low + AT_A_TIME].astype(np.float32) @ words.T
             near = np.zeros((len(table), len(unique)), np.float32)
@@ -150,15 +152,15 @@ def search_cell(books: list[np.ndarray], k: int, rerank: int):
                 near += table[:, offset : offset + len(books[m])][:, codes[:, m]]
             near *= scale
             best = np.argpartition(-near, take - 1, 1)[:, :take]
-            exact = np.einsum("qd,qrd->qr", q[low : low + AT_A_TIME], unique[best])
             for i in range(len(table)):
-                own, order = q_ids[low + i], np.argsort(-exact[i], kind="stable")
+                exact = np.einsum("rd,d->r", unique[best[i]], q[low + i])  # a query at a time: the depth has no bound
+                own, order = q_ids[low + i], np.argsort(-exact, kind="stable")
                 found: list[tuple[float, int]] = []
                 last = None
                 for r in order:
-                    if len(found) >= k and exact[i, r] != last:
+                    if len(found) >= k and exact[r] != last:
                         break
-                    last = exact[i, r]
+                    last = exact[r]
                     u = best[i, r]
                     same = ids[members[starts[u] : starts[u + 1]]]
                     found += [(-last, int(v)) for v in same[same != own][:k]]
