@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import best_fit_packing, language_id, line_dedup, simhash_dedup, source_mixing
+from docquarry.llm import best_fit_packing, jaccard_dedup, language_id, line_dedup, source_mixing
 from docquarry.llm.common import Workspace
 
 
@@ -21,8 +21,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash_dedup.dedup(docs)
+    """Keeps one document of each group linked by a similarity of 0.8 of five-word shingles, that of the smallest doc_id."""
+    return jaccard_dedup.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,14 +159,14 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return edges
 
 
-def linked(ws: Workspace, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def linked(ws: Workspace, prints: DataFrame, radius: int = RADIUS, edges: DataFrame | None = None) -> DataFrame:
     """A row for each fingerprint: print, n, component_id (smallest doc_id), keep (row of that document).
 
-    prints has _rid, doc_id and print, saved.
+    prints has _rid, doc_id and print, saved. Edges (a, b), a > b, take the place of the links within radius.
     """
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid")
     nodes = ws.save(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")), "nodes")
-    labels = components(ws, links(ws, nodes, radius)).select(F.col("a").alias("print"), F.col("b").alias("label"))
+    labels = components(ws, links(ws, nodes, radius) if edges is None else edges).select(F.col("a").alias("print"), F.col("b").alias("label"))
     labelled = ws.save(nodes.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print")), "labelled")
     sums = labelled.groupBy("label").agg(F.min("first").alias("chosen"), F.count(F.lit(1)).alias("members"))
     out = hot_join(labelled, sums, ["label"], "members", labelled.count())

@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+from helpers import DATA
 
 from docquarry.llm import additive_quantisation
 
@@ -21,3 +23,42 @@ def test_recall_of_a_full_block():
         scores[q] = -np.inf
         hits += len(set(np.argsort(-scores)[:20]) & set(g.vec_id))
     assert len(got) == 800 and hits >= 0.98 * len(got)
+
+
+def shingle_set(text):
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_keeps_one_of_each_similar_group(spark):
+    """Copies with a few changed words, on both sides of a similarity of 0.8, against brute force."""
+    rng = np.random.default_rng(4)
+    rows, i = [], 0
+    for n_changes in (1, 1, 2, 2, 3, 3, 4, 6) * 6:
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        for _ in range(3):
+            words = list(base)
+            for at in rng.choice(150, n_changes, replace=False):
+                words[at] = f"Changed{rng.integers(10**6)}"
+            rows.append((i, " ".join(words)))
+            i += 1
+    rows += [(1000 + k, t) for k, t in enumerate(["", " ", "two words", "TWO  words", "other words", "a b c d e"])] + [(1010, None), (None, "a b c d e")]
+    sets = [shingle_set(t or "") for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k in range(len(rows)):
+        for o in range(k):
+            both = len(sets[k] & sets[o])
+            if sets[k] == sets[o] or both * 5 >= 4 * (len(sets[k] | sets[o])):
+                x, y = sorted((root(k), root(o)))
+                parent[y] = x
+    want = [rows[k][0] for k in range(len(rows)) if root(k) == k]
+    assert 40 < len(want) < len(rows) - 20
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, DATA).collect()]
+    assert sorted(got) == sorted(want)
