@@ -31,8 +31,8 @@ HEX = rf"[0-9a-f]{{{HEX_LEAST},}}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 ORDINARY = r"[A-Za-z0-9_]{4,}"
 
-#: Documents that ordinary words are learned from; random strings that are made; smoothing; nats for a flag, in all and per character.
-LEARN_DOCS, LEARN_RANDOM, SMOOTHING, LEAST_NATS, LEAST_RATE = 2000, 3000, 0.5, 10.0, 0.5
+#: Random strings that are made; smoothing; nats for a flag, in all and per character.
+LEARN_RANDOM, SMOOTHING, LEAST_NATS, LEAST_RATE = 3000, 0.5, 10.0, 0.5
 CODES = 128
 
 
@@ -44,14 +44,12 @@ def random_strings(spark: SparkSession, n: int = LEARN_RANDOM) -> DataFrame:
     return spark.range(n).select(F.explode(made).alias("text"))
 
 
-def ordinary_words(docs: DataFrame, n_docs: int = LEARN_DOCS) -> DataFrame:
-    """Labelled strings (text): the words outside all patterns, of about n_docs documents chosen by hash."""
-    step = max(1, docs.count() // n_docs)
-    chosen = docs.where(F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), F.lit(step)) == 0)
-    text = chosen["text"]
+def ordinary_words(docs: DataFrame) -> DataFrame:
+    """Labelled strings (text): the words outside all patterns, of all documents."""
+    text = docs["text"]
     for pattern in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, pattern, " ")
-    return chosen.select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("text"))
+    return docs.select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("text"))
 
 
 def train(random: DataFrame, ordinary: DataFrame, smoothing: float = SMOOTHING) -> list[float]:

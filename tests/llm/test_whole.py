@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from helpers import DATA
 
-from docquarry.llm import additive_quantisation
+from docquarry.llm import additive_quantisation, common, secret_scan, simhash_dedup
 
 
 def test_recall_of_a_full_block():
@@ -62,3 +62,8 @@ def test_pipeline_keeps_one_of_each_similar_group(spark):
     docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, DATA).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_ordinary_words_come_from_all_documents(spark):
+    docs = spark.range(4100).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    assert secret_scan.ordinary_words(docs).distinct().count() == 4100
