@@ -123,8 +123,10 @@ def midpoint_edges(ws: Workspace, members: DataFrame, masks: list[int], radius:
     each = ws.spark.createDataFrame(flips, "v int, flips array<long>")  # a row for each table
     middles = members.select("v", "print").join(F.broadcast(each), "v").select("print", F.explode("flips").alias("flip"))
     middles = ws.save(middles.select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("middle")).distinct(), "middles")
-    meet = middles.groupBy("middle").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("b")).where("n > 1")
-    met = hot_join(middles, meet, ["middle"], "n", middles.count()).where("print > b").select(F.col("print").alias("a"), "b")
+    # one side of a link flips floor(radius / 2) bits, so that all members of a midpoint are within radius of b
+    close = F.bit_count(F.col("print").bitwiseXOR(F.col("middle"))) <= radius // 2
+    meet = middles.groupBy("middle").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(close, F.col("print"))).alias("b")).where("n > 1")
+    met = hot_join(middles, meet, ["middle"], "n", middles.count()).where("print <> b").select(F.greatest("print", "b").alias("a"), F.least("print", "b").alias("b"))
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 

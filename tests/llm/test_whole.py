@@ -67,3 +67,19 @@ def test_pipeline_keeps_one_of_each_similar_group(spark):
 def test_ordinary_words_come_from_all_documents(spark):
     docs = spark.range(4100).selectExpr("id AS doc_id", "concat('word', id) AS text")
     assert secret_scan.ordinary_words(docs).distinct().count() == 4100
+
+
+def test_large_buckets_lose_no_link_at_an_odd_radius(spark):
+    p, q = 0b111100000, 0b111100111  # for each of their midpoints a smaller member is too far from one of them
+    prints = [p, q, *(p ^ 1 << i ^ 0b110000000 for i in range(3)), *(q ^ 1 << i ^ 0b001100000 for i in range(3))]
+    ws = common.Workspace(spark, "odd")
+    members = spark.createDataFrame([(0, p) for p in prints], "v int, print long")
+    edges = simhash_dedup.midpoint_edges(ws, members, [~0b111111111 % 2**64], 3)
+    found = {r["print"]: r["print"] for r in members.collect()} | {r["a"]: r["b"] for r in simhash_dedup.components(ws, edges).collect()}
+    parent = {p: p for p in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if (a ^ b).bit_count() <= 3:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    assert found == parent
