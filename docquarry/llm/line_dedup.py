@@ -4,97 +4,58 @@ Documents come in batches by rising doc_id. A batch's line keys, as 128-bit hash
 one row each and merge-joined with the sorted runs of earlier batches: a key that a run holds
 belongs to the document noted there, the others (the anti-join) belong to the batch's smallest
 doc_id and become a run of level 0. FANOUT runs of a level are compacted into one run of the next.
-Runs are tables bucketed and sorted by hash, so a merge never shuffles them again.
+Runs are tables bucketed and sorted by hash, so a merge never shuffles them again. Lines are known
+by their places in a text, and what a text loses is one list of marks, so the work on a text of any
+number of lines is linear.
 """
 
 from __future__ import annotations
 
-import uuid
-
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docquarry.llm.common import Workspace, hot_join, slices
+from docquarry.llm.common import Workspace, hot_join
 
 NAME = "op8_line_dedup"
 
 #: Code points of the shortest key that counts; batches of a one-off run; runs of a level before compaction.
 LEAST, BATCHES, FANOUT = 10, 4, 2
 HASH = ["h1", "h2"]
+WHITE, LARGE, SMALL = " \t\n\x0b\f\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: bytes) -> bytes:
-    """bytes.strip() and bytes.lower() know exactly the white space and the letters of ASCII."""
-    return line.strip().lower()
-
-
-def counts(key: bytes, least: int) -> bool:
-    return len(key) >= 4 * least or len(key) >= least and len(key.decode()) >= least
-
-
-def key_hash(key: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(key)
+def line_key(line: Column) -> Column:
+    """The line without white space at its ends, its letters A-Z lower-cased and no others."""
+    key = F.btrim(line, F.lit(WHITE))
+    return F.when(F.octet_length(key) == F.length(key), F.lower(key)).otherwise(F.translate(key, LARGE, SMALL))
 
 
-def hash_lines(least: int):
-    """(doc_id, text) to (doc_id, h1, h2): the different keys of each document."""
+def hashed_lines(docs: DataFrame, least: int, batch: Column) -> DataFrame:
+    """(doc_id, text_hash, pos, h1, h2, batch) of every line whose key has at least `least` code points; pos counts from 0."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keyed = each.where(F.length("line") >= least).select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key"))
+    return keyed.where(F.length("key") >= least).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), batch.alias("batch"))
 
-    def run(batches):
-        for batch in slices(batches):
-            digests, at = [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                if data := text.as_py():
-                    found = {key_hash(k) for k in map(line_key, data.split(b"\n")) if counts(k, least)}
-                    digests += found
-                    at += [i] * len(found)
-            halves = pa.Array.from_buffers(pa.int64(), 2 * len(at), [None, pa.py_buffer(b"".join(digests))])
-            ids = batch.column(0).take(pa.array(at, pa.int32()))
-            even = pa.array(range(0, 2 * len(at), 2), pa.int32())
-            odd = pa.array(range(1, 2 * len(at), 2), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, halves.take(even), halves.take(odd)], ["doc_id", *HASH])
 
-    return run
-
-
-def drop_lines(least: int, text_at: int, names: list[str]):
-    """Rows with a list of dropped hashes last: takes the lines out of the text and counts them."""
-
-    def run(batches):
-        for batch in slices(batches):
-            texts, lines, dropped = [], [], []
-            drops = batch.column(batch.num_columns - 1)
-            for text, gone in zip(batch.column(text_at), drops, strict=True):
-                value, n = text.as_py(), 0
-                parts = (value or "").split("\n")
-                lines.append(len(parts))
-                if gone.is_valid:
-                    out = {x["h1"].to_bytes(8, "little", signed=True) + x["h2"].to_bytes(8, "little", signed=True) for x in gone.as_py()}
-                    kept = [p for p in parts if not (counts(k := line_key(p.encode()), least) and key_hash(k) in out)]
-                    n, value = len(parts) - len(kept), "\n".join(kept)
-                texts.append(value)
-                dropped.append(n)
-            columns = batch.columns[:-1]
-            columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names)
-
-    return run
+def marks(places: Column) -> Column:
+    """Sorted places, from 0, to a list of booleans that is true at each of them and ends with the last."""
+    before = F.slice(F.concat(F.array(F.lit(-1)), places), F.lit(1), F.size(places))
+    steps = F.arrays_zip(places.alias("here"), before.alias("before"))
+    return F.flatten(F.transform(steps, lambda s: F.concat(F.array_repeat(F.lit(False), s["here"] - s["before"] - 1), F.array(F.lit(True)))))
 
 
 class Runs:
-    """The levelled runs: bucketed tables of (h1, h2, owner, n, fresh), of which the fresh rows are the run."""
+    """The levelled runs: bucketed tables of (h1, h2, owner, n, fresh), of which the fresh rows are the run. They lie in the workspace's folder."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.prefix, self.made = spark, f"line_runs_{uuid.uuid4().hex}", 0
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, ws: Workspace):
+        self.ws, self.spark, self.prefix, self.made = ws, ws.spark, f"line_runs_{ws.root[-32:]}", 0
+        self.buckets = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
 
     def write(self, df: DataFrame) -> str:
         name = f"{self.prefix}_{self.made}"
         self.made += 1
-        df.write.option("compression", "zstd").bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
+        df.write.option("compression", "zstd").option("path", f"{self.ws.root}/runs/{name}").bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         return name
 
     def owners(self, name: str) -> DataFrame:
@@ -128,49 +89,58 @@ class Runs:
     def close(self) -> None:
         for k in range(self.made):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{k}")
+        self.ws.drop("runs")
+
+
+def lost_lines(ws: Workspace, named: DataFrame, least: int, batches: int) -> DataFrame:
+    """(doc_id, text_hash, n_lost, lost) of every text that loses lines; lost are its marks. Saved."""
+    ends = named.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
+    batch = F.lit(batches - 1)
+    for k, end in reversed(list(enumerate(sorted(set(ends))))):  # ends need not be exact: any order of batches by doc_id is right
+        batch = F.when(F.col("doc_id") <= end, F.lit(k)).otherwise(batch)
+    lines = ws.save(hashed_lines(named, least, batch), "lines", partition_by="batch")
+    total, runs, candidates = lines.count(), Runs(ws), None
+    try:
+        for k in range(batches):
+            keys = lines.where(F.col("batch") == k).groupBy(*HASH).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+            name = runs.write(runs.mark(keys))
+            again = ws.spark.table(name).where("n > 1 or not fresh").select(F.lit(k).alias("batch"), *HASH, "owner", "n")
+            candidates = again if candidates is None else candidates.unionAll(again)
+            if k + 1 < batches:
+                runs.add(name)
+        lost = hot_join(lines, candidates, ["batch", *HASH], "n", total, share=1000 * batches).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        places = lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("places"))  # no more than a text's lines
+        return ws.save(places.select("doc_id", "text_hash", F.size("places").alias("n_lost"), marks(F.col("places")).alias("lost")), "lost")
+    finally:
+        runs.close()
+        ws.drop("lines")
 
 
 def dedup_lines(docs: DataFrame, keep: list[str] | None = None, least: int = LEAST, batches: int = BATCHES, ws: Workspace | None = None) -> DataFrame:
-    """The kept columns of docs (with text) after dropping repeated lines, with n_lines and n_dropped.
+    """kept (a struct of the kept columns of docs as they were), text (without repeated lines), n_lines and n_dropped.
 
     docs needs doc_id and text. Rows of one doc_id are one document, and so are those without an id,
     which come last. A null text is one empty line and stays null. A document that loses all its lines
-    stays, with an empty text. An empty table gives no rows. Kept columns may have any names but
-    n_lines and n_dropped.
+    stays, with an empty text. An empty table gives no rows. Kept columns may have any names.
     """
-    spark = docs.sparkSession
-    ws = ws or Workspace(spark, "lines")
+    ws = ws or Workspace(docs.sparkSession, "lines")
     keep = docs.columns if keep is None else keep
     named = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    ends = named.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    batch = F.lit(batches - 1)
-    for k, end in reversed(list(enumerate(sorted(set(ends))))):  # ends need not be exact: any order of batches by doc_id is right
-        batch = F.when(F.col("doc_id") <= end, F.lit(k)).otherwise(batch)
-    lines = named.mapInArrow(hash_lines(least), T.StructType([T.StructField("doc_id", named.schema["doc_id"].dataType), *[T.StructField(h, T.LongType()) for h in HASH]]))
-    lines = ws.save(lines.withColumn("batch", batch), "lines", partition_by="batch")
-    total, runs, candidates = lines.count(), Runs(spark), None
-    for k in range(batches):
-        keys = lines.where(F.col("batch") == k).groupBy(*HASH).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        name = runs.write(runs.mark(keys))
-        again = spark.table(name).where("n > 1 or not fresh").select(F.lit(k).alias("batch"), *HASH, "owner", "n")
-        candidates = again if candidates is None else candidates.unionAll(again)
-        if k + 1 < batches:
-            runs.add(name)
-    lost = hot_join(lines, candidates, ["batch", *HASH], "n", total, share=1000 * batches).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    drops = ws.save(lost.groupBy("doc_id").agg(F.collect_list(F.struct(*HASH)).alias("gone")), "drops")  # no more than a document's lines
-    runs.close()
-    ws.drop("lines")
-    drops = drops.select(F.col("doc_id").alias("_id"), "gone")
-    kept = docs.select(docs["doc_id"].alias("_doc"), *[docs[c].alias(f"_{i}") for i, c in enumerate(keep)])
-    joined = kept.join(drops, F.col("_doc").eqNullSafe(F.col("_id")), "left").select(*[f"_{i}" for i in range(len(keep))], "gone")
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(drop_lines(least, keep.index("text"), schema.names), schema)
+    lost = lost_lines(ws, named, least, batches).select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), "n_lost", "lost")
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in keep if c != "text"]).alias("others"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_hash")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.coalesce(F.get("lost", i), F.lit(False))), "\n")
+    return joined.select(
+        F.struct(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in keep]).alias("kept"),
+        F.when(F.col("n_lost").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long").alias("n_lines"),
+        F.coalesce("n_lost", F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id", "text"])
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return kept.select("kept.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = rf"""

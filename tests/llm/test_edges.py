@@ -46,14 +46,37 @@ def test_kd_shards(spark, odd, empty):
     assert {r["shard"] for r in kd_sharding.kd_shards(hot, ["doc_id"], target_bytes=sum(sums) // 3 + 1).select("shard").distinct().collect()} == {0, 1, 2}
 
 
-def test_line_dedup(odd, empty):
-    got = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(odd.where("doc_id is null or doc_id < 6"), ["doc_id", "text"]).collect()}
+def test_line_dedup(spark, odd, empty):
+    few = odd.where("doc_id is null or doc_id < 6").withColumn("n_lines", F.lit("clash")).withColumn("h1", F.lit("clash"))
+    found = line_dedup.dedup_lines(few)
+    assert found.columns == ["kept", "text", "n_lines", "n_dropped"] and found.select("kept.*").columns == few.columns
+    got = {(r["kept"]["doc_id"], r["n_lines"], r["n_dropped"], r["text"], r["kept"]["n_lines"]) for r in found.collect()}
     assert got == {
-        (1, 2, 0, "A line that is long enough\nAnother line of the text"), (2, 2, 1, "something else here"), (None, 2, 1, "no id here at all"),
-        (3, 1, 0, None), (4, 1, 0, ""), (5, 2, 0, " \t\n"),
+        (1, 2, 0, "A line that is long enough\nAnother line of the text", "clash"), (2, 2, 1, "something else here", "clash"), (None, 2, 1, "no id here at all", "clash"),
+        (3, 1, 0, None, "clash"), (4, 1, 0, "", "clash"), (5, 2, 0, " \t\n", "clash"),
     }
-    assert line_dedup.dedup_lines(odd).columns == [*odd.columns, "n_lines", "n_dropped"]
     assert line_dedup.dedup_lines(empty).count() == 0
+    folder = spark.range(1).select(F.lit("x").alias("text"), F.lit(1).alias("doc_id"))
+    before = {t.name for t in spark.catalog.listTables()}
+    line_dedup.dedup_lines(folder).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_line_keys_and_marks(spark):
+    lines = [" \t\x0b\f\rÉA b\xa0 ", "ABC xyz", "\u0130I ", "", " \r"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(line_dedup.line_key(F.col("line")).alias("key"))
+    plain = [x.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)}) for x in lines]
+    assert [r["key"] for r in df.collect()] == plain
+    marks = spark.createDataFrame([([0],), ([2, 3, 6],), ([1],)], "places array<int>").select(line_dedup.marks(F.col("places")).alias("m"))
+    assert [[k for k, x in enumerate(r["m"]) if x] for r in marks.collect()] == [[0], [2, 3, 6], [1]]
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    """Texts of 200,000 lines, all of them lost in the second: linear work."""
+    text = "\n".join(f"line number {k:09d}" for k in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text), (2, "a line of its own"), (2, "a line of its own")], "doc_id long, text string")
+    got = sorted((r["kept"]["doc_id"], r["n_lines"], r["n_dropped"], len(r["text"])) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(1, 200_000, 0, len(text)), (2, 1, 0, 17), (2, 1, 0, 17), (2, 200_000, 200_000, 0)]
 
 
 def test_simhash(spark, odd, empty):
