@@ -32,7 +32,8 @@ def line_key(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, least: int, batch: Column) -> DataFrame:
     """(doc_id, text_hash, pos, h1, h2, batch) of every line whose key has at least `least` code points; pos counts from 0."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")  # once for a text, not for each of its lines
+    each = hashed.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = each.where(F.length("line") >= least).select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key"))
     return keyed.where(F.length("key") >= least).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), batch.alias("batch"))
 
