@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,75 +31,108 @@ SQL = None  # SQL has no tokenizer: held against the tokenizer and a lower bound
 SEQ_LEN, END = 4096, 1
 #: Numbers of groups that are tried; a length is large from seq_len / LARGE.
 GROUPS, LARGE = (6, 12, 24), 8
-#: Cells that the pieces of a length are numbered in.
-SALTS = 64
-#: Entries of a worker's cache before it becomes the old one; longer words are not kept.
-CACHED, LONG = 300_000, 64
+#: Cells that the pieces of a length are numbered in, at least, and about how many of them one may get.
+SALTS, CELL_PIECES = 64, 500_000
+#: Entries of a worker's cache before it becomes the old one; longer words are not kept; words encoded at a time.
+CACHED, LONG, AT_A_TIME = 500_000, 64, 5000
 #: Texts that are not taken apart: those with letters whose small forms depend on more than themselves, and with runs of punctuation.
 FAR = re.compile("[^\\x00-\u012f]")
 RUN = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])")
+# Fixed value: the pattern by which the vocabulary's rules split what has no white space.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies show each byte as: itself if it is seen, else one from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
     """Token ids as bytes, with a cache of words.
 
-    The vocabulary's rules split at white space first, and a run of letters is one word, so a text's
-    ids are those of its words in a row. Commas and full stops after a word are words of their own;
-    a text where that could be otherwise goes through the tokenizer as it is. New words are joined
-    for encoding and cut at the tokens that end a word. A full cache becomes the old one, from which
-    what is still used is taken over.
+    The vocabulary's rules split at white space first, so a text's ids are those of its words in a row,
+    and a word's those of its pieces. Commas and full stops after a word are words of their own; a
+    text where that could be otherwise goes through the tokenizer as it is. New pieces are joined, as
+    byte letters, and encoded by the merges alone; the tokens that end a word part them again. A full
+    cache becomes the old one, from which what is still used is taken over.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.last = frozenset(i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>"))
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+    def piece_ids(self, pieces: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        for i in range(0, len(words), 5000):
-            part, begin, k = words[i : i + 5000], 0, 0
-            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-            data = array("I", ids).tobytes()
-            for at, token in enumerate(ids, 1):
-                if token in self.last:
-                    out[part[k]] = data[4 * begin : 4 * at]
-                    k, begin = k + 1, at
-            if k != len(part):
+        for low in range(0, len(pieces), AT_A_TIME):
+            part = pieces[low : low + AT_A_TIME]
+            shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in part]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):
                 raise ValueError("the vocabulary does not mark the ends of words")
+            data = ids.tobytes()
+            out |= zip(part, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
         return out
 
-    def learn(self, words: set[str]) -> None:
-        old = self.old
-        found = {w: old[w] for w in words if w in old}
-        words = words - found.keys() if found else words
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that the cache lacks; all but the long ones are kept."""
+        old = self.old.get
+        found = {w: ids for w in words if (ids := old(w)) is not None} if self.old else {}
+        words = words.difference(found) if found else words
         plain = [w for w in words if w.isalpha()]
-        other = list(words.difference(plain))
+        found |= self.piece_ids(plain)
+        if len(plain) < len(words):
+            cut = {w: PIECES.findall(w) for w in words if not w.isalpha() and w.isprintable()}
+            rest = list(words.difference(plain, cut))  # white space of other kinds and what is not seen
+            found |= zip(rest, self.ids(rest), strict=True)
+            made: dict[str, bytes] = {}
+            for piece in {x for pieces in cut.values() for x in pieces}:
+                made[piece] = found.get(piece) or self.words.get(piece)
+            made |= self.piece_ids([x for x, ids in made.items() if ids is None])
+            found |= {w: b"".join([made[x] for x in pieces]) for w, pieces in cut.items()}
         self.words |= found
-        self.words |= self.word_ids(plain)
-        self.words |= zip(other, self.ids(other), strict=True)
+        for word in [w for w in found if len(w) > LONG]:
+            del self.words[word]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, text in enumerate(texts) if RUN.search(text) or not (text.isascii() or not FAR.search(text))]
-        lists = [(text + " ").lower().replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ") for text in texts]
-        for i in odd:
-            lists[i] = []
-        different = set().union(*lists)
         if len(self.words) > CACHED:
             self.old, self.words = self.words, {}
-        self.learn(different.difference(self.words))
-        out = [b"".join(map(self.words.__getitem__, words)) for words in lists]
+        out, odd, open_, get = [b""] * len(texts), [], [], self.words.get
+        missing: set[str] = set()
+        for i, text in enumerate(texts):
+            if RUN.search(text) or not (text.isascii() or not FAR.search(text)):
+                odd.append(i)
+                continue
+            words = (text + " ").lower().replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ")
+            found = list(map(get, words))
+            if holes := [(k, words[k]) for k, ids in enumerate(found) if ids is None]:
+                missing.update([w for _, w in holes])
+                open_.append((i, found, holes))
+            else:
+                out[i] = b"".join(found)
+        learned = self.learn(missing)
+        for i, found, holes in open_:
+            for k, word in holes:
+                found[k] = learned[word]
+            out[i] = b"".join(found)
         for i, data in zip(odd, self.ids([texts[i] for i in odd]), strict=True):
             out[i] = data
-        for word in [w for w in different if len(w) > LONG]:
-            del self.words[word]
         return out
 
 
@@ -294,7 +328,7 @@ def pack(docs: DataFrame, tokenizer_path: str, payload: Column | None = None, se
     places = spark.createDataFrame(plan.places, "length long, low long, high long, first long, offset long")
     if len(plan.places) <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "_rid"), F.lit(max(SALTS, max(counts.values(), default=0) // CELL_PIECES))).cast("int")
     narrow = pieces.select("_rid", "doc_id", "piece", "length", salt.alias("salt"))
     numbered = ranked(narrow, ["length"], ["salt"], ["doc_id", "piece", "_rid"], "rank")
     inside = (F.col("rank") >= places["low"]) & (F.col("rank") < places["high"])
