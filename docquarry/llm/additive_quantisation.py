@@ -1,50 +1,61 @@
 """Approximate nearest neighbours by additive quantisation, largest inner product first.
 
 A vector is the sum of one full-dimensional codeword from each of BOOKS codebooks. The codebooks are
-trained on a bounded sample: k-means on residuals, then rounds of beam-search encoding and least
-squares. Every row is encoded by beam search and stored with its codes and its norm; as the measure
-is linear, the norm scales a reconstruction to the length of what it stands for. A query makes one
-table of its inner products with all codewords, a row's score is a sum of BOOKS entries, and the best
-rows of each block, a fixed share of it, are reranked with their original vectors.
-
-Queries and rows meet block by block: a grid of cells, each of which holds at most ROW_BLOCK rows and
-QUERY_BLOCK queries. Equal vectors of a block are scored once, so a group of copies, however large,
-crowds nothing out.
+trained on a bounded sample: k-means on residuals, then a round of beam-search encoding and means.
+Every different vector is encoded by beam search and stored with its codes and the ratio of its norm
+to the decoded one's, which scales a reconstruction to the length of what it stands for. A query
+makes one table of its inner products with all codewords, and a row's score is a sum of BOOKS
+entries. The RERANK best of a query are joined with their original vectors and scored exactly.
+
+The queries meet all codes block by block, in a grid of cells that get codes and queries, never
+the rows' vectors. Work on the grid is queries times rows, as every row is a candidate of every
+query; a cell returns few rows for each query. Equal vectors are one row of the grid and carry
+their k + 1 smallest ids, more of which no result can have, so a group of copies crowds nothing out.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.llm.common import Workspace
+from docquarry.llm.common import Workspace, hot_join, with_row_id
 
 NAME = "op10_additive_quantisation"
 SQL = None  # approximate: recall is tested against brute force
 
-BOOKS, WORDS, BEAM = 8, 256, 8
-#: The most rows the codebooks are trained on; rounds of k-means and of joint refinement.
-SAMPLE, ROUNDS, REFINE = 8192, 8, 2
-#: Blocks of rows and queries that meet in one task, and the fewest blocks of rows.
-ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 65_536, 16_384, 12
-#: The fewest different vectors of a block that are reranked for a query; neighbours returned; one in so many ids is a query.
-RERANK, K, EVERY = 96, 20, 20
-#: One in so many different vectors of a block is reranked, so that the depth grows with the block.
-SHARE = 8
-#: Queries that are scored at a time.
-AT_A_TIME = 256
+BOOKS, WORDS, BEAM = 24, 256, 4
+#: The most rows the codebooks are trained on; rounds of k-means, and of means after encoding by beam search.
+SAMPLE, ROUNDS, REFINE = 16_384, 5, 1
+#: Different vectors that are reranked for a query; neighbours returned; one in so many ids is a query.
+RERANK, K, EVERY = 100, 20, 20
+#: Pairs of a row and a query in a cell, about, and the fewest cells.
+CELL, LEAST_CELLS = 2**36, 16
+#: Rows and queries that are scored at a time.
+ROWS_AT_A_TIME, QUERIES_AT_A_TIME = 2048, 128
+
+
+def nearest_word(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ words.T - (words**2).sum(1) / 2, 1)
+
+
+def means(x: np.ndarray, of: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The mean of the rows of each word; words without rows stay."""
+    order, n = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(words))
+    out, used = words.copy(), n > 0
+    starts = np.cumsum(n)[used] - n[used]
+    out[used] = np.add.reduceat(x[order], starts, axis=0) / n[used, None]
+    return out
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        of = np.argmax(x @ centres.T - (centres**2).sum(1) / 2, 1)
-        sums, n = np.zeros_like(centres), np.bincount(of, minlength=len(centres))
-        np.add.at(sums, of, x)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+        centres = means(x, nearest_word(x, centres), centres)
     return centres
 
 
@@ -72,31 +83,24 @@ def decode(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
 
 
 def train(x: np.ndarray, n_books: int = BOOKS, words: int = WORDS) -> list[np.ndarray]:
-    left, books = x.astype(np.float32), []
+    x = x.astype(np.float32)
+    left, books = x, []
     for _ in range(n_books):
         books.append(kmeans(left, words, ROUNDS))
-        left = left - books[-1][np.argmax(left @ books[-1].T - (books[-1] ** 2).sum(1) / 2, 1)]
+        left = left - books[-1][nearest_word(left, books[-1])]
     for _ in range(REFINE):
-        codes = np.concatenate([encode(x[k : k + 1024].astype(np.float32), books) for k in range(0, len(x), 1024)])
-        starts = np.cumsum([0, *[len(b) for b in books]])
-        used = codes.astype(int) + starts[:-1]
-        ridge = 1e-3 * max(1.0, len(x) / starts[-1])
-        gram, right = ridge * np.eye(starts[-1]), np.zeros((starts[-1], x.shape[1]))
-        for m in range(len(books)):
-            np.add.at(right, used[:, m], x)
-            for o in range(len(books)):
-                np.add.at(gram, (used[:, m], used[:, o]), 1.0)
-        old = np.concatenate(books)
-        right += ridge * old  # words that nothing uses stay
-        solved = np.linalg.solve(gram, right).astype(np.float32)
-        books = [solved[starts[m] : starts[m + 1]] for m in range(len(books))]
+        codes = np.concatenate([encode(x[k : k + 1024], books) for k in range(0, len(x), 1024)])
+        left = x - decode(codes, books)
+        for m, book in enumerate(books):  # each book to the means of what the others leave
+            target = left + book[codes[:, m]]
+            books[m] = means(target, codes[:, m], book)
+            left = target - books[m][codes[:, m]]
     return books
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """id and vector (doubles) of rows with an id and a vector without nulls, not all zero and finite throughout."""
-    vector = vectors[column].cast("array<double>")
-    named = vectors.select(vectors[key].cast("long").alias("id"), vector.alias("vector"))
+    """id and vector of rows with an id and a vector without nulls, not all zero and finite throughout."""
+    named = vectors.select(vectors[key].cast("long").alias("id"), vectors[column].alias("vector"))
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return named.where("id is not null and vector is not null and size(vector) > 0").where(~odd & F.exists("vector", lambda x: x != 0))
 
@@ -107,98 +111,152 @@ def matrix(column) -> np.ndarray:
 
 
 def encode_rows(books: list[np.ndarray]):
-    """(id, vector) to (id, vector, codes, norm): the norm of the original vector."""
+    """(vector, members) to (vector, members, codes, scale): scale is the norm over the decoded vector's."""
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                x = matrix(part.column(1))
+                x = matrix(part.column(0))
                 codes = encode(x.astype(np.float32), books)
-                norm = np.sqrt((x**2).sum(1))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["id", "vector", "codes", "norm"])
+                made = np.sqrt((decode(codes, books).astype(np.float64) ** 2).sum(1))
+                scale = np.sqrt((x.astype(np.float64) ** 2).sum(1)) / np.maximum(made, 1e-12)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], ["vector", "members", "codes", "scale"])
 
     return run
 
 
-def search_cell(books: list[np.ndarray], k: int, rerank: int):
-    """The k best rows of a cell for each of its queries, by exact score."""
+def best_of(query: np.ndarray, row: np.ndarray, score: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The depth best entries of each query, best first."""
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+    place = np.arange(len(query)) - np.repeat(starts, np.diff([*starts, len(query)]))
+    kept = place < depth
+    return query[kept], row[kept], score[kept]
+
+
+def scan(q: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the depth best rows of each query, scored by lookup tables.
+
+    A table holds a codeword's products with all queries of a group side by side, so a row's scores
+    for them are sums of whole table rows. What is below a query's depth-th best so far goes at once.
+    """
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    near, more = (np.empty((ROWS_AT_A_TIME, QUERIES_AT_A_TIME), np.float32) for _ in range(2))
+    for first in range(0, len(q), QUERIES_AT_A_TIME):
+        group = q[first : first + QUERIES_AT_A_TIME].astype(np.float32)
+        tables = [np.ascontiguousarray(book @ group.T) for book in books]
+        held, n_held = [], 0
+        least = np.full(len(group), -np.inf, np.float32)
+        for low in range(0, len(codes), ROWS_AT_A_TIME):
+            part = codes[low : low + ROWS_AT_A_TIME].astype(np.intp)
+            a, b = near[: len(part), : len(group)], more[: len(part), : len(group)]
+            if not a.flags.c_contiguous:
+                a, b = np.empty(a.shape, np.float32), np.empty(a.shape, np.float32)
+            np.take(tables[0], part[:, 0], axis=0, out=a, mode="clip")
+            for m in range(1, len(books)):
+                np.take(tables[m], part[:, m], axis=0, out=b, mode="clip")
+                a += b
+            a *= scale[low : low + len(part), None]
+            row, query = np.nonzero(a > least)
+            held.append((query, row + low, a[row, query]))
+            n_held += len(row)
+            if n_held > 4 * depth * len(group):
+                held = [best_of(*map(np.concatenate, zip(*held, strict=True)), depth)]
+                n_held = len(held[0][0])
+                full = np.bincount(held[0][0], minlength=len(group)) >= depth
+                last = np.full(len(group), np.inf, np.float32)
+                np.minimum.at(last, held[0][0], held[0][2])
+                least = np.where(full, last, -np.inf).astype(np.float32)
+        query, row, score = best_of(*map(np.concatenate, zip(*held, strict=True)), depth)
+        out.append((query + first, row, score))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def scan_cell(books: list[np.ndarray], depth: int):
+    """The depth best units of a cell for each of its queries, by the codes' scores."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        names = ["query_id", "unit", "near"]
         if not queries.num_rows or not rows.num_rows:
-            return empty
-        queries, rows = queries.combine_chunks(), rows.sort_by("id").combine_chunks()
-        ids, x = rows["id"].to_numpy(), matrix(rows["vector"].combine_chunks())
-        # equal vectors stand side by side, the smallest ids first, and one of them is scored
-        keys = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
-        _, first, of = np.unique(keys, return_index=True, return_inverse=True)
-        members = np.argsort(of, kind="stable")
-        starts = np.concatenate(([0], np.cumsum(np.bincount(of))))
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[first]
-        unique = x[first]
-        made = decode(codes, books)
-        scale = (rows["norm"].to_numpy()[first] / np.maximum(np.sqrt((made**2).sum(1)), 1e-12)).astype(np.float32)
-        q_ids, q = queries["id"].to_numpy(), matrix(queries["vector"].combine_chunks())
-        words = np.concatenate(books)
-        offsets = np.cumsum([0, *[len(b) for b in books]])[:-1]
-        out: list[list] = [[], [], []]
-        take = min(max(rerank, -(-len(unique) // SHARE)), len(unique))
-        for low in range(0, len(q), AT_A_TIME):
-            table = q[low : low + AT_A_TIME].astype(np.float32) @ words.T
-            near = np.zeros((len(table), len(unique)), np.float32)
-            for m, offset in enumerate(offsets):
-                near += table[:, offset : offset + len(books[m])][:, codes[:, m]]
-            near *= scale
-            best = np.argpartition(-near, take - 1, 1)[:, :take]
-            for i in range(len(table)):
-                exact = np.einsum("rd,d->r", unique[best[i]], q[low + i])  # a query at a time: the depth has no bound
-                own, order = q_ids[low + i], np.argsort(-exact, kind="stable")
-                found: list[tuple[float, int]] = []
-                last = None
-                for r in order:
-                    if len(found) >= k and exact[r] != last:
-                        break
-                    last = exact[r]
-                    u = best[i, r]
-                    same = ids[members[starts[u] : starts[u + 1]]]
-                    found += [(-last, int(v)) for v in same[same != own][:k]]
-                for score, v in sorted(found)[:k]:
-                    out[0].append(own)
-                    out[1].append(v)
-                    out[2].append(-score)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=names)
+        units = rows["unit"].to_numpy()
+        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(units), -1)
+        query, row, score = scan(matrix(queries["vector"].combine_chunks()), codes, rows["scale"].to_numpy(), books, depth)
+        return pa.table([pa.array(queries["id"].to_numpy()[query]), pa.array(units[row]), pa.array(score)], names=names)
 
     return run
 
 
+def product(a: str, b: str) -> Column:
+    """The inner product of two vectors, in double precision, in order."""
+    each = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(each, F.lit(0.0), lambda total, x: total + x)
+
+
+def grid(n_rows: int, n_queries: int) -> tuple[int, int]:
+    """Blocks of rows and of queries: cells of about CELL pairs, shaped so that little is copied (a query weighs about seven rows)."""
+    cells = max(LEAST_CELLS, -(-n_rows * n_queries // CELL))
+    row_blocks = min(n_rows, math.ceil(math.sqrt(cells * n_rows / (7 * n_queries))))
+    return max(1, row_blocks), max(1, min(n_queries, -(-cells // max(1, row_blocks))))
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """vector and members, its k + 1 smallest ids, of every different vector. Copies go before they are shuffled."""
+    hashed = rows.select("id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+    by_id = Window.partitionBy("h1", "h2").orderBy("id")
+    least = hashed.select("h1", "h2", "id").distinct().withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
+    members = least.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("members"))  # k + 1 at most
+    return hashed.groupBy("h1", "h2").agg(F.first("vector").alias("vector")).join(members, ["h1", "h2"]).select("vector", "members")
+
+
+def candidates(ws: Workspace, coded: DataFrame, asked: DataFrame, books: list[np.ndarray], rerank: int) -> DataFrame:
+    """query_id and unit of the best of all units for each query, by the codes. coded and asked are saved."""
+    n_rows, n_queries = coded.count(), asked.count()
+    row_blocks, query_blocks = grid(n_rows, max(1, n_queries))
+    even = rerank / row_blocks  # units are dealt to blocks by hash: a block's part of the best strays little from this
+    depth = min(rerank, math.ceil(even + 6 * math.sqrt(even) + 6))
+    block = lambda n, by: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    data = coded.select("unit", "codes", "scale", block(row_blocks, "unit").alias("r"), each(query_blocks).alias("q"))
+    queries = asked.select("id", "vector", block(query_blocks, "id").alias("q"), each(row_blocks).alias("r"))
+    found = queries.groupBy("r", "q").cogroup(data.groupBy("r", "q")).applyInArrow(scan_cell(books, depth), "query_id long, unit long, near float")
+    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "unit")
+    return ws.save(found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", "unit"), "candidates")
+
+
 def search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", every: int = EVERY, k: int = K, rerank: int = RERANK, ws: Workspace | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found of each row whose id is divisible by every.
 
     Candidates are all rows of another id; ties go to the smaller id. Rows without an id, and vectors
-    that are null, empty, zero or hold null or non-finite components take no part; all vectors must
-    have one length. Rows of one id are candidates each and one query. An empty table gives no rows.
+    that are null, empty, zero or hold null or non-finite components take no part. A shorter vector
+    counts as filled up with zeros. Rows that repeat both id and vector are one candidate; rows of one
+    id are one query, by the smallest vector. Other columns are not looked at, whatever their names.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "vectors")
     rows = usable(vectors, key, column)
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
-    if not sample.num_rows:
+    shortest, longest = rows.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if longest is None:
         return spark.createDataFrame([], schema)
+    if shortest < longest:
+        kind = rows.schema["vector"].dataType.elementType
+        rows = rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0).cast(kind), F.lit(longest) - F.size("vector"))))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
     books = train(matrix(sample["vector"].combine_chunks()))
-    coded = ws.save(rows.mapInArrow(encode_rows(books), "id long, vector array<double>, codes binary, norm double"), "coded")
-    n_rows, n_queries = coded.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
-    n_row_blocks = max(min(LEAST_BLOCKS, n_rows), -(-n_rows // (ROW_BLOCK // 2)))  # half: blocks are filled by hash
-    n_query_blocks = max(1, -(-n_queries // (QUERY_BLOCK // 2)))
-    block = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")  # noqa: E731  of one type on both sides of the cogroup
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("int"), F.lit(n - 1).cast("int")))
-    data = coded.withColumn("r", block(n_row_blocks, "id", F.monotonically_increasing_id())).withColumn("q", each(n_query_blocks))
-    asked = coded.where(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", "vector", block(n_query_blocks, "id").alias("q")).withColumn("r", each(n_row_blocks))
-    found = asked.groupBy("r", "q").cogroup(data.groupBy("r", "q")).applyInArrow(search_cell(books, k, rerank), "query_id long, vec_id long, score double")
+    kind = rows.schema["vector"].dataType.elementType.simpleString()
+    coded = distinct_vectors(rows, k).mapInArrow(encode_rows(books), f"vector array<{kind}>, members array<long>, codes binary, scale float")
+    coded = ws.save(with_row_id(coded, "unit"), "coded")
+    asked = ws.save(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")), "asked")
+    pairs = candidates(ws, coded, asked, books, rerank)
+    wanted = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+    uses = ws.save(pairs.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).join(coded.select("unit", "vector", "members"), "unit"), "wanted")
+    scored = hot_join(wanted, uses, ["unit"], "n", pairs.count()).select("query_id", product("query", "vector").alias("score"), F.explode("members").alias("vec_id"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
