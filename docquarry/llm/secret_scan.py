@@ -96,11 +96,11 @@ def matches(text: Column, kind: int, pattern: str, value_group: int, when: Colum
 
 
 def spans(docs: DataFrame, model: list[float], keep: list[str], nats: float = LEAST_NATS, rate: float = LEAST_RATE) -> DataFrame:
-    """The kept columns of every row of docs with found: an array of (start, kind, end, base), by start and kind.
+    """kept (a struct of the kept columns) of every row of docs, and found: an array of (start, kind, end, base), by start and kind.
 
     Positions are code points, ends exclusive; kind counts in KINDS. Spans that the models add never
     overlap one of a pattern. A null or empty text has none. Equal rows are scanned each; an empty
-    table gives no rows; kept columns may have any names but found.
+    table gives no rows; kept columns may have any names.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     rows = with_row_id(docs.select(F.struct(*[docs[c].alias(c) for c in keep]).alias("kept"), text.alias("text")))
@@ -123,13 +123,14 @@ def spans(docs: DataFrame, model: list[float], keep: list[str], nats: float = LE
     each = each.withColumn("end", F.sum(F.col("before") + F.coalesce("found", F.lit(0))).over(so_far))
     each = each.withColumn("start", F.col("end") - F.coalesce("found", F.lit(0)))
     base = F.col("good") & (F.col("kind") < 3)
-    in_text = Window.partitionBy("_rid").orderBy("start", "kind", "i")
-    earlier = F.max(F.when(base, F.col("end"))).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(base, F.col("start"))).over(in_text.rowsBetween(1, Window.unboundedFollowing))
+    before = Window.partitionBy("_rid").orderBy("start", "kind", "i").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_rid").orderBy(F.desc("start"), F.desc("kind"), F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.max(F.when(base, F.col("end"))).over(before)
+    later = F.min(F.when(base, F.col("start"))).over(after)  # from the end, so that the frame grows by a row at a time
     free = (F.coalesce(earlier, F.lit(0)) <= F.col("start")) & (F.coalesce(later, F.col("end")) >= F.col("end"))
     each = each.where("good or i is null or i = 0").withColumn("free", free)
     real = F.when(F.col("good") & ((F.col("kind") < 3) | F.col("free")), F.struct(F.col("start"), F.col("kind"), F.col("end"), (F.col("kind") < 3).alias("base")))
-    return each.groupBy("_rid").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(real)).alias("found")).select("kept.*", "found")
+    return each.groupBy("_rid").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(real)).alias("found")).select("kept", "found")
 
 
 def listed(found: Column) -> Column:
@@ -150,4 +151,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     numbers = [count_of(F.col("found"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
     base = F.sha2(listed(F.filter("found", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *numbers, base, listed(F.col("found")).alias("spans"))
+    return found.select("kept.doc_id", *numbers, base, listed(F.col("found")).alias("spans"))
