@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from docquarry.llm.common import slices
+from docquarry.llm.common import BROADCAST_ROWS, slices
 
 NAME = "op1_language_id"
 SQL = None  # vectors and clusters: held-out accuracy is tested
 
 DIMENSIONS = 8192
-#: The most sampled documents of a language, centroids of a language, rounds of k-means, languages.
-PER_LANGUAGE, CENTROIDS, ROUNDS, LANGUAGES = 400, 4, 12, 500
+#: The most sampled documents of a language, and of all unless there are more languages; centroids of a language; rounds of k-means.
+PER_LANGUAGE, SAMPLED, CENTROIDS, ROUNDS = 400, 40_000, 4, 12
 #: A document is rejected below this part of the smallest cosine in the sample; the largest richness.
 REJECT, RICHEST = 0.4, DIMENSIONS.bit_length()
 UNKNOWN = "und"
@@ -127,10 +128,10 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def fit(learn: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """Learns from all rows of learn (id, text, lang); languages are the LANGUAGES most frequent.
+    """Learns from all rows of learn (id, text, lang); every language of theirs that has a text with a letter can be predicted.
 
-    The sample takes a language's documents by a hash of their id at the rate that gives about
-    per_language of them. The driver holds a sparse vector of each.
+    The sample takes a language's documents by a hash of id and text, per_language of them or fewer.
+    The driver holds a sparse vector of each, and the model a dense one of each centroid.
     """
     spark = learn.sparkSession
     learn = learn.where("lang is not null")
@@ -142,15 +143,20 @@ def fit(learn: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
         else:
             df[r["dimension"]] = r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    rates = [(r["lang"], min(1.0, per_language / r["n"])) for r in sizes.collect()]
+    dealt = learn.where(F.col("text").rlike(r"\p{L}")).withColumn("dealt", F.xxhash64("id", "text"))
+    sizes = dealt.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("dealt").alias("first")).collect()  # a row for each language
+    per_language = max(1, min(per_language, SAMPLED // max(1, len(sizes))))
+    rates = [(r["lang"], min(1.0, 2 * per_language / r["n"]), r["first"]) for r in sizes]
     if not rates:
         return Model(idf, [], np.zeros(0, int), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(RICHEST + 1))
-    among = F.broadcast(spark.createDataFrame(rates, "lang string, rate double"))  # LANGUAGES rows
-    chance = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = learn.join(among, "lang").where(chance < F.col("rate")).select("text", "lang").mapInArrow(vectors(idf), "lang string, at binary, weights binary")
+    among = spark.createDataFrame(rates, "lang string, rate double, first long")
+    among = F.broadcast(among) if len(rates) <= BROADCAST_ROWS else among
+    low = (F.pmod("dealt", F.lit(1_000_003)) / 1_000_003.0 < F.col("rate")) | (F.col("dealt") == F.col("first"))  # each language has one at least
+    some = dealt.join(among, "lang").where(low)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("dealt"))
+    sample = some.withColumn("_n", first).where(F.col("_n") <= per_language).select("text", "lang").mapInArrow(vectors(idf), "lang string, at binary, weights binary")
     by: dict[str, list] = {}
-    for r in sample.collect():  # about per_language a language
+    for r in sample.collect():  # per_language a language at most
         by.setdefault(r["lang"], []).append((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["weights"], "<f4")))
     languages, made, of = sorted(by), [], []
     for k, lang in enumerate(languages):
@@ -200,21 +206,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, keep: list[str], model: Model | None = None) -> DataFrame:
-    """The kept columns of docs, which include text, with lang_pred, score and rejected.
+    """kept (a struct of the kept columns of docs, text among them) with lang_pred, score and rejected.
 
     Without a model, one is learned from the text and lang of the rows whose doc_id is not held out
     (null ids are not). A null text or one without a letter is `und`, rejected, with score 0; so is
-    every text if nothing can be learned. Kept columns may not be named like the new ones; others may.
+    every text if nothing can be learned. Kept columns may have any names.
     """
     if model is None:
         known = docs.where(~held_out(docs["doc_id"]))
         model = fit(known.select(known["doc_id"].cast("string").alias("id"), known["text"].alias("text"), known["lang"].alias("lang")))
-    kept = docs.select(*[docs[c] for c in keep])
+    kept = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(keep)])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return kept.mapInArrow(predict(model, keep.index("text"), schema.names), schema)
+    found = kept.mapInArrow(predict(model, keep.index("text"), schema.names), schema)
+    return found.select(F.struct(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept"), "lang_pred", "score", "rejected")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, ["doc_id", "text"])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("kept.doc_id", held_out(F.col("kept.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
