@@ -27,8 +27,8 @@ HEAVY = 100
 PIECES = 64
 #: Buckets of a histogram round; part of a leaf's bytes that a median may be off.
 BUCKETS, EXACT = 1024, 5000
-#: Cells that the rows of a shard are numbered in.
-SALTS = 256
+#: Cells that the rows of a shard are numbered in, at least, and about how many of them one may get.
+SALTS, CELL_ROWS = 256, 500_000
 GROUP = ["text_hash", "text_crc32", "size"]
 AXES = ("k_size", "k_source", "k_lang")
 
@@ -186,13 +186,13 @@ def grow(light: DataFrame, root: Node, exact: float) -> list[Node]:
 
 
 def kd_shards(docs: DataFrame, keep: list[str], shards: int = SHARDS, target_bytes: int | None = None, ws: Workspace | None = None) -> DataFrame:
-    """The kept columns of docs with size, text_crc32, shard and slot (gapless from 0 within a shard).
+    """kept (a struct of the kept columns) of docs with size, text_crc32, shard and slot (gapless from 0 within a shard).
 
     docs needs doc_id, text, source and lang. A row weighs its text's UTF-8 bytes plus 1 (null: as an
     empty text). With target_bytes, there are as many shards as the bytes need. Rows of equal text
     (null counts as empty) come into one shard, if they are at most half a shard. Null metadata is a
     value of its own; equal rows are all placed; an empty table gives no rows; kept columns may have
-    any names but those of the new ones.
+    any names.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "kd")
@@ -226,11 +226,11 @@ def kd_shards(docs: DataFrame, keep: list[str], shards: int = SHARDS, target_byt
     out = ["kept", *GROUP, "_rid", "shard"]
     heavy_rows = of_heavy.join(F.broadcast(place), [*GROUP, "piece"]).select(*out)
     light_rows = rows.drop(*AXES).join(F.broadcast(cut.select(*GROUP)), GROUP, "left_anti").join(light.select(*GROUP, *AXES), GROUP).select("kept", *GROUP, "_rid", shard)
-    placed = ws.save(heavy_rows.unionByName(light_rows).withColumn("salt", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)).cast("int")), "placed")
+    placed = ws.save(heavy_rows.unionByName(light_rows).withColumn("salt", F.pmod(F.xxhash64("_rid"), F.lit(max(SALTS, n_rows // CELL_ROWS))).cast("int")), "placed")
     ws.drop("rows", "groups")
-    return ranked(placed, ["shard"], ["salt"], ["_rid"], "slot").select("kept.*", "size", "text_crc32", "shard", "slot")
+    return ranked(placed, ["shard"], ["salt"], ["_rid"], "slot").select("kept", "size", "text_crc32", "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("kept.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -30,6 +30,7 @@ CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB
 #: Elements that end a cluster or segment of unknown size.
 TOP = {EBML, SEGMENT}
 LEVEL_1 = TOP | {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
+CONTENT_ENCODINGS, ENCRYPTED_BLOCK = 0x6D80, 0xAF
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 #: What store() writes: samples a second, samples of a frame, frames of a block, blocks of a cluster, unit of padding.
@@ -167,6 +168,8 @@ def parse(data: bytes) -> File:
                         for m, _, p, q in elements(data, x, y):
                             if m in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION):
                                 entry[{TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "default_duration"}[m]] = number(p, q)
+                            elif m == CONTENT_ENCODINGS:
+                                entry["encoded"] = True
                             elif m == CODEC_ID:
                                 entry["codec"] = data[p:q].decode("ascii", "replace")
                         file.tracks[entry.get("number", 0)] = entry
@@ -176,6 +179,8 @@ def parse(data: bytes) -> File:
                 for n, _, x, y in elements(data, a, b):
                     if n == TIMESTAMP:
                         time = number(x, y)
+                    elif n == ENCRYPTED_BLOCK:
+                        raise Malformed(f"encrypted block at byte {x}")
                     elif n == SIMPLE_BLOCK:
                         block_packets(file, data, x, y, first, time, None)
                     elif n == BLOCK_GROUP:
@@ -305,8 +310,10 @@ def tables(media: DataFrame, key: str, column: str, names: list[str], kinds: str
 def packets(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """A row per frame: key, track, timestamp_ns, keyframe, lacing, cluster, start, size, error.
 
-    start and size are the frame's byte range in the file, cluster the position of its cluster. A
-    null file has no rows; one that is not whole has one row with an error and no packets.
+    start and size are the frame's byte range in the file as stored (a track's content encodings are
+    not undone), cluster the position of its cluster. A null file has no rows; one that is not whole or
+    encrypted has one row with an error and no packets. Repeated rows give their packets each; an empty
+    table gives no rows; other columns are not looked at, whatever their names.
     """
 
     def rows(data: bytes | None):
@@ -338,25 +345,42 @@ def feature(file: File, payload: bytes) -> str:
     samples = np.frombuffer(payload, np.uint8)
     kinds = [sum(p.lacing == k for p in file.packets) for k in range(4)]
     end = max((p.timestamp_ns for p in file.packets), default=0) // 1_000_000
-    shown = (("packets", len(file.packets)), ("clusters", len(file.clusters)), ("cues", len(file.cues)), ("last_ms", end), ("lacing", "/".join(map(str, kinds))), ("mean", f"{samples.mean():.4f}"), ("peak", int(samples.max())))
+    mean, peak = (f"{samples.mean():.4f}", int(samples.max())) if len(samples) else ("none", "none")
+    shown = (("packets", len(file.packets)), ("clusters", len(file.clusters)), ("cues", len(file.cues)), ("last_ms", end), ("lacing", "/".join(map(str, kinds))), ("mean", mean), ("peak", peak))
     return ";".join(f"{k}={v}" for k, v in shown)
 
 
+def played(raw: bytes | None, track: int) -> tuple[bytes | None, str | None, str | None]:
+    """payload, feature and error of one file."""
+    if raw is None:
+        return None, None, "no file"
+    try:
+        file = parse(raw)
+    except Malformed as e:
+        return None, None, str(e)
+    if file.tracks.get(track, {}).get("encoded"):
+        return None, None, f"track {track} has content encodings"
+    payload = b"".join([raw[p.start : p.start + p.size] for p in file.packets if p.track == track])
+    return payload, feature(file, payload), None
+
+
 def payloads(media: DataFrame, track: int = 1) -> DataFrame:
-    """doc_id, n_bytes, payload, media and feature: the frames of a track put together again. A file that is not whole fails the job."""
+    """doc_id, n_bytes, payload, media, feature and error: the frames of a track put together again.
+
+    media is store()'s result or a table with its columns. A null file, one that is not whole or a
+    track with content encodings gives null payload and feature, and says why in error (else null).
+    Repeated rows are read each; an empty table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                data, features = [], []
-                for stored in part.column(2):
-                    file = parse(raw := stored.as_py())
-                    data.append(b"".join([raw[p.start : p.start + p.size] for p in file.packets if p.track == track]))
-                    features.append(feature(file, data[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary()), part.column(2), pa.array(features, pa.string())], ["doc_id", "n_bytes", "payload", "media", "feature"])
-
-    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload binary, media binary, feature string")
+                data, features, errors = zip(*[played(stored.as_py(), track) for stored in part.column(2)], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary()), part.column(2), pa.array(features, pa.string()), pa.array(errors, pa.string())], ["doc_id", "n_bytes", "payload", "media", "feature", "error"])
+
+    named = media.select(media["doc_id"].alias("doc_id"), media["n_bytes"].alias("n_bytes"), media["media"].alias("media"))
+    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload binary, media binary, feature string, error string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

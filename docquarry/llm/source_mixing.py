@@ -18,8 +18,8 @@ NAME = "op9_source_mixing"
 
 #: Weights of the sources by code point, repeating; share of all words to take; most copies of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Cells that the documents of a source and a size band are dealt to.
-SALTS = 64
+#: Cells that the documents of a source and a size band are dealt to, at least, and about how many rows one may get.
+SALTS, CELL_ROWS = 64, 500_000
 
 
 def size_band(size: Column) -> Column:
@@ -55,19 +55,23 @@ def source_targets(ws: Workspace, sized: DataFrame, weights=WEIGHTS, share=SHARE
     return weighed.select("source_null", "source_key", "source_size", F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
+def number_of(text: Column) -> Column:
+    """The first 32 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def offset(source: Column) -> Column:
-    """The random start of a source in [0, 1): the first 32 bits of its MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    """The random start of a source in [0, 1)."""
+    return number_of(F.coalesce(source, F.lit(""))).cast("double") / 2.0**32
 
 
 def systematic_mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, share=SHARE, most=MOST, ws: Workspace | None = None) -> DataFrame:
-    """The kept columns of all documents with size, source_size, target, copies and taken.
+    """kept (a struct of the kept columns) of all documents with size, source_size, target, copies and taken.
 
     docs needs doc_id, text and source. size is the number of words (null text: 0). A null source is
     a source of its own, the last. Null ids come first among equal sizes; rows that are alike in all
     kept columns are interchangeable. An empty table gives no rows; a source without words has
-    target 0 and no copies. Other columns are carried only if kept, whatever their names; kept
-    columns may not be named like the new ones.
+    target 0 and no copies. Kept columns may have any names, but no maps.
     """
     ws = ws or Workspace(docs.sparkSession, "mix")
     keep = docs.columns if keep is None else keep
@@ -81,36 +85,37 @@ def systematic_mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGH
         F.col("source").isNull().alias("source_null"),
         F.coalesce("source", F.lit("")).alias("source_key"),
         "id",
-        *([F.xxhash64("text").alias("text_hash")] if wide else []),
+        number_of(F.coalesce(F.col("id").cast("string"), F.col("text"), F.lit(""))).alias("dealt"),
+        F.xxhash64("kept").alias("tie"),
     )
     sized = ws.save(sized, "sized")
     targets = source_targets(ws, sized, weights, share, most)
-    cells = sized.withColumn("band", size_band(F.col("size"))).withColumn("salt", F.pmod(F.coalesce("id", F.lit(0)), F.lit(SALTS)).cast("int"))
-    order = [F.col("size").desc(), F.col("id").asc_nulls_first()]
-    if wide:
-        order.append(F.col("text_hash"))
+    salts = max(SALTS, -(-sized.count() // CELL_ROWS))
+    cells = sized.withColumn("band", size_band(F.col("size"))).withColumn("salt", (F.col("dealt") % salts).cast("int"))
+    order = [F.col("size").desc(), F.col("id").asc_nulls_first(), "tie"]
     i = ranked(cells, ["source_null", "source_key"], ["band", "salt"], order, "i")
     joined = i.join(targets, ["source_null", "source_key"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = offset(F.when(~F.col("source_null"), F.col("source_key")))
     copies = (F.floor(rate * (F.col("i") + 1) + start) - F.floor(rate * F.col("i") + start)).cast("long")
     out = joined.select("_rid" if wide else "kept", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
-    return (attach(rows.select("_rid", "kept"), out).drop("_rid") if wide else out).select("kept.*", "size", "source_size", "target", "copies", "taken")
+    return (attach(rows.select("_rid", "kept"), out).drop("_rid") if wide else out).select("kept", "size", "source_size", "target", "copies", "taken")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """The mix itself: the columns of docs, a row for each copy taken."""
-    return systematic_mix(docs).withColumn("_copy", F.explode(F.expr("sequence(1L, greatest(copies, 1L))"))).where("copies > 0").select(*docs.columns)
+    taken = systematic_mix(docs, ws=ws).where("copies > 0")
+    return taken.select("kept", F.explode(F.expr("sequence(1L, copies)"))).select("kept.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return systematic_mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    return systematic_mix(docs, keep=["doc_id"]).select("kept.doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = rf"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, sum(size)::BIGINT * 2.0::DOUBLE AS cap,
     CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
@@ -125,7 +130,7 @@ WITH RECURSIVE sized AS (
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY
       CASE WHEN size <= 0 THEN 0 ELSE -(length(bin(size)) * 64 + ('0b' || substr(rpad(bin(size), 6, '0'), 1, 6))::INT) END,
-      ((coalesce(doc_id, 0) % {SALTS}) + {SALTS}) % {SALTS}, size DESC, doc_id NULLS FIRST) - 1 AS i
+      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT % {SALTS}, size DESC, doc_id NULLS FIRST) - 1 AS i
   FROM sized
 ), rated AS (
   SELECT doc_id, size, source_size, target, i, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
