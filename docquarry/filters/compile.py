@@ -82,6 +82,14 @@ def literal(value: object, kind: T.DataType) -> Column:
     return F.lit(bytes(value)) if isinstance(value, bytearray) else F.lit(value)
 
 
+def leaves(document: Mapping, above: str = "") -> dict[str, object]:
+    """The values of a document by their dotted names, in order."""
+    out: dict[str, object] = {}
+    for name, value in document.items():
+        out |= leaves(value, f"{above}{name}.") if isinstance(value, Mapping) and value else {f"{above}{name}": value}
+    return out
+
+
 def any_true(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns) if columns else F.lit(False)
 
@@ -99,6 +107,17 @@ def any_number(column: Column) -> Column:
     return F.coalesce(c["float_value"], c["int64_value"].cast("double"), c["int32_value"].cast("double"), c["decimal128_value"].try_cast("double"))
 
 
+def any_number_test(op: str, column: Column, value: int | float | decimal.Decimal) -> Column:
+    """Whole numbers are compared as such, so that those beyond 2 ** 53 stay apart."""
+    whole = not isinstance(value, float) or math.isfinite(value)
+    whole = whole and value == int(value) and -(2**63) <= int(value) < 2**63
+    exact, near = F.lit(int(value)).cast("bigint") if whole else None, F.lit(float(value))
+    tests = [compare(op, column["float_value"], near), compare(op, column["decimal128_value"].try_cast("decimal(38,18)"), exact.cast("decimal(38,18)")) if whole else compare(op, column["decimal128_value"].try_cast("double"), near)]
+    for child in ("int64_value", "int32_value"):
+        tests.append(compare(op, column[child].cast("bigint"), exact) if whole else compare(op, column[child].cast("double"), near))
+    return F.coalesce(*tests, F.lit(False))
+
+
 def any_is_null(column: Column) -> Column:
     return column.isNull() | sure(column["null_value"])
 
@@ -143,13 +162,34 @@ class Compiler:
         found = self.resolve(node.path)
         if found is None:
             below = [n for n in self.kinds if n.startswith(f"{node.path}.")]
-            if below and node.op == "$exists":
-                there = any_true([self.root(n).isNotNull() for n in below])
-                return there if node.value else ~there
-            return self.missing(node)
+            return self.parent_test(node, below) if below else self.missing(node)
         column, kind, rest, metadata = found
         return self.descend(column, kind, rest, node, metadata)
 
+    def parent_test(self, node: Field, below: list[str]) -> Column:
+        """A test of a document of which only the fields below are columns: it is null if all of them are."""
+        op, value = node.op, node.value
+        there = any_true([self.root(n).isNotNull() for n in below])
+        if op == "$exists":
+            return there if value else ~there
+        if value is None and op in ("$eq", "$gte", "$lte"):
+            return ~there
+        if value is None and op in ("$gt", "$lt"):
+            return F.lit(False)
+        if op == "$in":
+            return any_true([self.parent_test(Field(node.path, "$eq", v), below) for v in value])
+        if op == "$type":
+            wanted = {TYPE_NUMBERS.get(n, n) for n in value}
+            return any_true([there] * ("object" in wanted) + [~there] * ("null" in wanted))
+        if op == "$eq" and isinstance(value, Mapping):
+            given = leaves(value, f"{node.path}.")
+            if list(given) != below:
+                return F.lit(False)
+            return there & all_true([sure(self.at_path(Field(n, "$eq", v))) for n, v in given.items()])
+        if op == "$eq" and literal_class(value) != ARRAY:
+            return F.lit(False)  # a document equals no other type
+        raise InvalidQuery(f"{node.path} is a parent of columns, which {op} can't test; name a field below it")
+
     def missing(self, node: Field) -> Column:
         """A field that no document has."""
         null = node.op == "$eq" and node.value is None or node.op == "$in" and None in node.value or node.op in ("$gte", "$lte") and node.value is None or node.op == "$exists" and not node.value
@@ -257,7 +297,7 @@ class Compiler:
             return any_is_null(column) if op in ("$eq", "$gte", "$lte") else F.lit(False)
         kind = literal_class(value)
         if kind == NUMBER:
-            return compare(op, any_number(column), literal(float(value), T.DoubleType()))
+            return any_number_test(op, column, value)
         if kind == BINARY:
             return compare(op, F.unbase64(column["binary_value"]), literal(value, T.BinaryType()))
         if kind in ANY_CLASS:

@@ -113,4 +113,4 @@ def sort_keys(c: Column) -> list[Column]:
     rank = F.when(c.isNull() | F.coalesce(c["null_value"], F.lit(False)), F.lit(0))
     for k, v in enumerate(values, 1):
         rank = rank.when(v.isNotNull(), F.lit(k))
-    return [rank.otherwise(F.lit(10)), *values]
+    return [rank.otherwise(F.lit(10)), number, F.coalesce(c["int64_value"], c["int32_value"].cast("bigint")), *values[1:]]  # whole numbers beyond 2 ** 53 stay apart

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor, as_completed
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.sources.cache import shared_folder
+
 
 def seconds_of(delta: dt.timedelta) -> int:
     """Whole seconds; less makes no bucket."""
@@ -57,38 +60,49 @@ def write_partitioned(df: DataFrame, path: str, time_field: str, delta: dt.timed
     bucketed.hint("rebalance", "bucket").write.partitionBy("bucket", *keys).option("compression", "zstd").parquet(path)
 
 
+def part_name(bucket: Column, keys: list[Column]) -> Column:
+    """A folder's name for a bucket and the values of the keys."""
+    told = F.concat_ws(".", F.xxhash64(*[x for k in keys for x in (k.isNull(), k)]), F.xxhash64(F.lit(1), *keys)) if keys else F.lit("all")
+    return F.concat_ws("_", micros(bucket), told)
+
+
 def call_partitions(df: DataFrame, callback: Callable, time_field: str, delta: dt.timedelta, keys: list[str], max_workers: int) -> dict:
     """Calls callback(table, metadata) on the driver for every partition, from max_workers threads at most.
 
-    df should be stored or cached, as every partition is read by a filter of its own. A failure is
-    raised with the partition's identity. Rows without a time are passed over and counted.
+    The rows are written once to the shared folder, a folder for each partition, and each call reads its own
+    one, so the work does not grow with the number of partitions; the driver holds max_workers of them.
+    A failure is raised with the partition's identity. Rows without a time are passed over and counted.
     """
-    began = time.time()
-    plan = partitions(df, time_field, delta, keys).orderBy("bucket", *[F.col(f"`{k}`") for k in keys]).collect()
-    width = dt.timedelta(seconds=seconds_of(delta))
-    timed = [r for r in plan if r["bucket"] is not None]
-    kind = df.schema[time_field].dataType
-
-    def run(i: int, row) -> None:
-        low, high = row["bucket"], row["bucket"] + width
-        bound = (lambda v: F.lit(v)) if isinstance(kind, T.TimestampType) else (lambda v: F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz"))
-        t = F.col(f"`{time_field}`")
-        part = df.where((t >= bound(low)) & (t < bound(high)))
-        for k in keys:
-            part = part.where(F.col(f"`{k}`").eqNullSafe(F.lit(row[k])))
-        values = {k: row[k] for k in keys}
-        metadata = {"time_start": low, "time_end": high, "partition_values": values, "row_count": row["n"], "partition_index": i, "total_partitions": len(timed)}
-        try:
-            callback(part.orderBy(t.asc_nulls_last()).toArrow(), metadata)
-        except Exception as e:
-            raise RuntimeError(f"the callback failed on partition {i} ({low} to {high}, {values}): {e}") from e
-
-    with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        futures = [pool.submit(run, i, r) for i, r in enumerate(timed)]
-        try:
-            for f in as_completed(futures):
-                f.result()
-        except BaseException:
-            pool.shutdown(cancel_futures=True)
-            raise
+    began, spark = time.time(), df.sparkSession
+    path = f"{shared_folder(spark)}/partitions-{uuid.uuid4().hex}"
+    width, start = dt.timedelta(seconds=seconds_of(delta)), origin(df, time_field)
+    columns = [F.col(f"`{k}`") for k in keys]
+    bucketed = with_bucket(df, time_field, delta, "_bucket", start)
+    named = bucketed.withColumn("_part", F.coalesce(part_name(F.col("_bucket"), columns), F.lit("none")))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        named.hint("rebalance", "_part").write.partitionBy("_part").option("compression", "zstd").parquet(path)
+        kept = spark.read.option("recursiveFileLookup", "true").schema(named.drop("_part").schema).parquet(path)
+        plan = kept.groupBy("_bucket", *columns).agg(F.count(F.lit(1)).alias("n")).withColumn("_part", part_name(F.col("_bucket"), columns)).orderBy("_bucket", *columns).collect()
+        timed = [r for r in plan if r["_bucket"] is not None]
+
+        def run(i: int, row) -> None:
+            low, values = row["_bucket"], {k: row[k] for k in keys}
+            part = spark.read.schema(df.schema).parquet(f"{path}/_part={row['_part']}")
+            metadata = {"time_start": low, "time_end": low + width, "partition_values": values, "row_count": row["n"], "partition_index": i, "total_partitions": len(timed)}
+            try:
+                callback(part.orderBy(F.col(f"`{time_field}`").asc_nulls_last()).toArrow(), metadata)
+            except Exception as e:
+                raise RuntimeError(f"the callback failed on partition {i} ({low} to {low + width}, {values}): {e}") from e
+
+        with ThreadPoolExecutor(max_workers=max_workers) as pool:
+            futures = [pool.submit(run, i, r) for i, r in enumerate(timed)]
+            try:
+                for f in as_completed(futures):
+                    f.result()
+            except BaseException:
+                pool.shutdown(cancel_futures=True)
+                raise
+    finally:
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return {"total_partitions": len(timed), "total_rows": sum(r["n"] for r in timed), "skipped_partitions": len(plan) - len(timed), "partition_duration_s": time.time() - began}

@@ -29,14 +29,23 @@ def aggregate(df: DataFrame, pipeline: list[Mapping], tables: Mapping[str, DataF
 
 
 def column(df: DataFrame, expression: object):
-    return compile_expression(expression, Compiler(df.schema))
+    """An expression; a path alone gives the field as it is."""
+    compiler = Compiler(df.schema)
+    if isinstance(expression, str) and expression.startswith("$") and (found := compiler.resolve(expression[1:])) and not found[2]:
+        return found[0]
+    return compile_expression(expression, compiler).column
+
+
+def included(df: DataFrame, name: str):
+    """A field that a projection names; null if there is none."""
+    return F.col(f"`{name}`") if name in df.columns else F.lit(None)
 
 
 def project(df: DataFrame, value: Mapping, tables) -> DataFrame:
     drops = [n for n, v in value.items() if v in (0, False) and n != "_id"]
     if drops and len(drops) == len([n for n in value if n != "_id"]):
         return df.drop(*drops)
-    return df.select(*[(F.col(f"`{n}`") if v in (1, True) and not isinstance(v, float) else column(df, v)).alias(n) for n, v in value.items() if not (n == "_id" and v in (0, False))])
+    return df.select(*[(included(df, n) if v in (1, True) and not isinstance(v, float) else column(df, v)).alias(n) for n, v in value.items() if not (n == "_id" and v in (0, False))])
 
 
 def add_fields(df: DataFrame, value: Mapping, tables) -> DataFrame:

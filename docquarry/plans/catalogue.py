@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from docquarry.functions.mixed import mixed_case
 from docquarry.operators import buckets
 from docquarry.operators.ordering import normalise, orders
 from docquarry.plans.collection import Collection
+from docquarry.plans.surface import SURFACE
 from docquarry.sources.cache import shared_folder
 
 UTC = dt.UTC
@@ -75,8 +78,19 @@ MIXED = "(SELECT *, event_id % 5 AS k, value > 10 AS big FROM events)"
 
 
 def position(df: DataFrame, order: list) -> DataFrame:
-    """The place of each row in an order. Only for holding an order against SQL: one task numbers all rows."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """The place of each row in an order: ranges of it are numbered in a task each, after the rows of the ranges before.
+
+    The ranges are written to the shared folder, as their ends come from samples; the driver gets a count for each.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    counts, before = ranges.groupBy("_part").count().orderBy("_part").collect(), 0
+    base = F.lit(0)
+    for r in counts:
+        base, before = F.when(F.col("_part") == r["_part"], F.lit(before)).otherwise(base), before + r["count"]
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranges.withColumn("position", (base + within).cast("long"))
 
 
 def sorted_events(sort: object, nulls: bool = False) -> Callable:
@@ -133,7 +147,7 @@ def callback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and values of each bucket and type, by a function that runs on the executors."""
 
     def count(part: pa.Table) -> pa.Table:
-        cents = sum(round(v * 100) for v in part["value"].to_pylist())
+        cents = pc.sum(pc.cast(pc.round(pc.multiply(part["value"], 100.0), round_mode="half_to_even"), pa.int64())).as_py()
         return pa.table({"bucket": part["bucket"].slice(0, 1), "event_type": part["event_type"].slice(0, 1), "n": pa.array([part.num_rows], pa.int64()), "cents": pa.array([cents], pa.int64())})
 
     events = table(spark, sf_dir, "events").select("ts", "event_type", "value")
@@ -271,6 +285,9 @@ CATALOGUE: dict[str, tuple[Callable, str]] = {
 }
 
 
+CATALOGUE |= SURFACE
+
+
 def queries() -> dict[str, Callable]:
     return {name: run for name, (run, _) in CATALOGUE.items()}
 

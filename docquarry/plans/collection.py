@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ class Collection:
         if schema is None and time_field is None:
             raise ValueError("a collection needs a schema, or a time field for the schema of its columns")
         self.df, self.spark, self.name, self.database = df, df.sparkSession, name, database
-        self.source = source or f"{database}.{name}"
+        self.source = source  # what kept results are known by; a frame has no such name unless it is given
         self._schema = schema or Schema.of(df, time_field)
 
     @classmethod
@@ -38,7 +39,8 @@ class Collection:
     def from_mongo(cls, spark: SparkSession, uri, database: str, name: str, schema: Schema) -> Collection:
         """uri may be a function that gives it."""
         uri = uri() if callable(uri) else uri
-        return cls(readers.read_mongo(spark, uri, database, name, schema), schema, name=name, database=database)
+        source = f"store:{hashlib.sha256(uri.encode()).hexdigest()}:{database}.{name}"
+        return cls(readers.read_mongo(spark, uri, database, name, schema), schema, name=name, database=database, source=source)
 
     @property
     def full_name(self) -> str:

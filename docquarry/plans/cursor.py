@@ -17,7 +17,7 @@ from docquarry.filters.intervals import as_utc, chunks
 from docquarry.functions.mixed import decode, decode_value
 from docquarry.operators import buckets
 from docquarry.operators.ordering import normalise, orders
-from docquarry.sources.cache import ResultCache, fingerprint
+from docquarry.sources.cache import ResultCache, fingerprint, state_of
 
 COERCE = ("raise", "error")
 
@@ -112,6 +112,13 @@ class Cursor:
 
     def to_df(self, start_date: object = None, end_date: object = None, any_type_strategy: str = "keep_struct", coerce: str = "raise") -> DataFrame:
         """The result as a lazy frame; start_date is included, end_date is not."""
+        return self._decoded(self._undecoded(start_date, end_date, coerce), any_type_strategy)
+
+    def _decoded(self, df: DataFrame, strategy: str) -> DataFrame:
+        mixed = set(self.collection.schema.get_any_fields())
+        return df.select(*[decode(F.col(f"`{c}`"), strategy).alias(c) if c in mixed else F.col(f"`{c}`") for c in df.columns])
+
+    def _undecoded(self, start_date: object, end_date: object, coerce: str) -> DataFrame:
         if coerce not in COERCE:
             raise ValueError(f"coerce is one of {COERCE}")
         columns, schema = self.columns(), self.collection.schema
@@ -129,24 +136,27 @@ class Cursor:
             df = df.offset(self._skip)
         if self._limit:
             df = df.limit(self._limit)
-        mixed = set(schema.get_any_fields())
-        return df.select(*[decode(F.col(f"`{c}`"), any_type_strategy).alias(c) if c in mixed else F.col(f"`{c}`") for c in columns])
-
-    def cached(self, root: str, cache_read: bool = True, cache_write: bool = True, **options) -> DataFrame:
-        """The result through a folder of kept results; reading and writing it are independent."""
-        for key in ("any_type_strategy",):
-            options.setdefault(key, "keep_struct")
-        extra = [self.query, self._skip, self._limit, {k: str(v) for k, v in options.items()}]
-        cache = ResultCache(self.collection.spark, root, fingerprint(self.collection.source, self.collection.schema, {"q": extra}, self.projection, self._sort))
-        if cache_read and cache.exists():
-            found = cache.read()
-        elif cache_write:
-            cache.write(self.to_df(**options))
-            found = cache.read()
-        else:
-            return self.to_df(**options)
-        order = orders([s for s in self._sort if s[0] in found.columns], self.collection.schema) if self._sort and options["any_type_strategy"] == "keep_struct" else []
-        return found.orderBy(*order) if order else found
+        return df.select(*[F.col(f"`{c}`") for c in columns])
+
+    def cached(self, root: str, cache_read: bool = True, cache_write: bool = True, start_date: object = None, end_date: object = None, any_type_strategy: str = "keep_struct", coerce: str = "raise") -> DataFrame:
+        """The result through a folder of kept results; reading and writing it are independent.
+
+        Rows are kept undecoded and come back in the order of the sort, whose fields are always among
+        them. A collection of a frame needs a source, or results of different frames would be one.
+        """
+        c = self.collection
+        if not c.source:
+            raise ValueError("results are kept by their source: give the collection source=")
+        extra = [self.query, self._skip, self._limit, str(start_date), str(end_date), coerce, state_of(c.spark, c.source)]
+        cache = ResultCache(c.spark, root, fingerprint(c.source, c.schema, {"q": extra}, self.projection, self._sort))
+        if not (cache_read and cache.exists()):
+            made = self._undecoded(start_date, end_date, coerce)
+            if not cache_write:
+                return self._decoded(made, any_type_strategy)
+            cache.write(made)
+        found = cache.read()
+        order = orders(self._sort, c.schema)
+        return self._decoded(found.orderBy(*order) if order else found, any_type_strategy)
 
     # results
 
@@ -250,13 +260,8 @@ class Cursor:
         buckets.seconds_of(partition_time_delta)
         began = time.time()
         df = self._frame(start_date, end_date, any_type_strategy, coerce, cache_root, cache_read, cache_write)
-        df = df if cache_root else df.persist()
-        try:
-            spent = time.time() - began
-            found = buckets.call_partitions(df, callback, schema.time_field, partition_time_delta, keys, max_workers)
-        finally:
-            if not cache_root:
-                df.unpersist()
+        spent = time.time() - began
+        found = buckets.call_partitions(df, callback, schema.time_field, partition_time_delta, keys, max_workers)
         return found | {"cache_duration_s": spent, "duration_s": time.time() - began}
 
     def explain(self, plan: bool = True, max_workers: int = 4, chunking_granularity: dt.timedelta | None = None, row_group_size: int | None = None, flush_ram_limit_mb: int = 512) -> dict:

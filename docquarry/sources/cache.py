@@ -31,11 +31,24 @@ def fingerprint(source: str, schema: Schema, query: object, projection: object =
     return hashlib.sha256(json.dumps(canonical(parts), sort_keys=True).encode()).hexdigest()
 
 
+def state_of(spark: SparkSession, source: str) -> list:
+    """What changes when the files of a source do: their bytes and number, and when the folder was last written."""
+    kind, _, path = source.partition(":")
+    if kind not in ("parquet", "json"):
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):  # a pattern
+        return []
+    summary = fs.getContentSummary(at)
+    return [summary.getLength(), summary.getFileCount(), fs.getFileStatus(at).getModificationTime()]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for all executors; in local mode, a temporary one if it names none."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root and not context.master.startswith("local"):
+    if not root and not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return root or tempfile.mkdtemp(prefix="docquarry-")
 

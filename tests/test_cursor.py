@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import docquarry as q
+from docquarry.filters.compile import where
+from docquarry.filters.tree import InvalidQuery
 from docquarry.functions.mixed import decode_value, encode_value, sort_keys
 from docquarry.operators import buckets
 from docquarry.sources.cache import ResultCache, fingerprint
@@ -80,9 +82,12 @@ def test_iteration(sensors):
 
 def test_results_are_kept_by_source_and_schema(spark, sensors, tmp_path):
     root = str(tmp_path)
+    with pytest.raises(ValueError, match="source"):
+        sensors.find({}).cached(root)  # a frame has no name to keep results by
+    sensors = q.Collection(sensors.df, sensors.schema, source="sensors of this test")
     cursor = sensors.find({"value": {"$gte": 0}})
     assert cursor.cached(root).count() == 30
-    other = q.Collection(sensors.df.limit(0), sensors.schema, name="others")
+    other = q.Collection(sensors.df.limit(0), sensors.schema, source="others")
     assert other.find({"value": {"$gte": 0}}).cached(root).count() == 0
     key = fingerprint(sensors.source, sensors.schema, {"a": 1, "b": T0})
     assert key == fingerprint(sensors.source, sensors.schema, {"b": T0, "a": 1}) != fingerprint("x", sensors.schema, {"a": 1, "b": T0})
@@ -145,7 +150,7 @@ def test_mixed_values(spark):
     assert [r["id"] for r in c.find({}).sort("v", -1).to_df().collect()] == order[::-1]
     assert {r["id"] for r in c.find({"v": {"$gt": 2.6}}).to_df().collect()} == {2, 3}
     assert {r["id"] for r in c.find({"v": None}).to_df().collect()} == {0}
-    assert len(sort_keys(F.col("v"))) == 10
+    assert len(sort_keys(F.col("v"))) == 11
     with pytest.raises(ValueError):
         c.find({}).to_df(any_type_strategy="other")
 
@@ -170,3 +175,52 @@ def test_streams(spark, tmp_path):
     counts = incremental.bucket_counts(stream, "t", dt.timedelta(days=1), ["k"], query={"k": {"$ne": "z"}})
     counts.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("counted").collect()) == [12] * 4
+
+
+def test_frames_without_a_source_never_share_results(spark, tmp_path):
+    first, second = (spark.range(k, k + 3).selectExpr("id", "timestamp_ntz'2024-01-01' AS t") for k in (0, 100))
+    with pytest.raises(ValueError, match="source"):
+        q.Collection(second, time_field="t").find({}).cached(str(tmp_path))
+    found = [sorted(r["id"] for r in q.Collection(df, time_field="t", source=str(k)).find({}).cached(str(tmp_path)).collect()) for k, df in enumerate((first, second))]
+    assert found == [[0, 1, 2], [100, 101, 102]]
+
+
+def test_changed_files_are_read_again(spark, tmp_path):
+    path, root = str(tmp_path / "data"), str(tmp_path / "kept")
+    for n in (3, 5):
+        spark.range(n).selectExpr("id", "timestamp_ntz'2024-01-01' AS t").write.mode("overwrite").parquet(path)
+        assert q.Collection.from_parquet(spark, path, "t").find({}).cached(root).count() == n
+
+
+@pytest.mark.parametrize("strategy", ["keep_struct", "float", "string"])
+def test_kept_results_stay_sorted(spark, tmp_path, strategy):
+    given = [2.5, None, 7, "b", 2**53 + 1, 2**53, True, "a"]
+    rows = [(k, T0, encode_value(v)) for k, v in enumerate(given)]
+    df = spark.createDataFrame(rows, q.Schema("t", {"id": q.Int(), "t": q.Timestamp("us", None), "v": q.Any()}).to_struct()).repartition(5)
+    cursor = q.Collection(df, time_field="t", source="values").find({}).sort("v")
+    for _ in range(2):
+        assert cursor.to_arrow(any_type_strategy=strategy, cache_root=str(tmp_path))["id"].to_pylist() == [1, 0, 2, 5, 4, 7, 3, 6]
+
+
+def test_expressions_never_cross_classes(spark):
+    df = spark.createDataFrame([(1, "7", 4, 0, [1, 2]), (2, None, 0, 2, None), (3, "false", -4, None, [])], "id long, s string, n long, m long, xs array<long>")
+    found = lambda e: [r["id"] for r in where(df, {"$expr": e}).orderBy("id").collect()]
+    assert found({"$gt": ["$s", 5]}) == [1, 3] and found({"$eq": ["$s", 7]}) == [] and found({"$lt": ["$s", 5]}) == [2]
+    assert found("$s") == [1, 3] and found("$n") == [1, 3] and found({"$literal": "false"}) == [1, 2, 3]
+    assert found({"$eq": [{"$divide": ["$n", "$m"]}, None]}) == [1, 3] and found({"$eq": [{"$mod": ["$n", "$m"]}, 0]}) == [2]
+    assert found({"$eq": [{"$add": ["$n", "$s"]}, None]}) == [1, 2, 3] and found({"$in": ["$n", [4, "x", None]]}) == [1]
+    assert found({"$eq": [{"$arrayElemAt": ["$xs", -1]}, 2]}) == [1] and found({"$gt": [{"$size": "$xs"}, 0]}) == [1]
+    assert found({"$gt": ["$xs", {"$literal": "z"}]}) == [1, 3] and found({"$eq": ["$nowhere", None]}) == [1, 2, 3]
+    for wrong in ({"$cond": [True, 1, "x"]}, {"$eq": ["$n", {"a": 1, "b": 2}]}):
+        with pytest.raises(InvalidQuery):
+            found(wrong)
+
+
+def test_parents_of_columns(spark):
+    df = spark.createDataFrame([(1, 5, "x"), (2, None, None), (3, None, "y")], "id long, `m.d` long, `m.e` string")
+    found = lambda f: [r["id"] for r in where(df, f).orderBy("id").collect()]
+    assert found({"m": None}) == [2] and found({"m": {"$ne": None}}) == [1, 3] and found({"m": {"$in": [None, 3]}}) == [2]
+    assert found({"m": {"d": 5, "e": "x"}}) == [1] and found({"m": {"e": "x", "d": 5}}) == [] and found({"m": {"$type": "object"}}) == [1, 3]
+    assert found({"m": 5}) == [] and found({"m": {"$exists": False}}) == [2] and found({"m": {"$not": {"$eq": None}}}) == [1, 3]
+    with pytest.raises(InvalidQuery):
+        found({"m": {"$gt": 5}})
