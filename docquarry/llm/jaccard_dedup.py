@@ -4,7 +4,8 @@ Documents of equal shingle sets are one node. A MinHash signature of BANDS * WID
 candidates: two nodes meet if all WIDTH values of a band are equal, so a pair of similarity 0.8 is missed with
 a chance of (1 - 0.8 ** WIDTH) ** BANDS, about 3 in a million, and a closer one with less. Every link is
 confirmed by the sets themselves. First each node of a bucket is held against the bucket's smallest;
-then just those pairs that the links so far leave in different components.
+then, in buckets that the links so far leave in several components, all nodes of different components
+meet, in tasks of about CELL shingles that return links alone, no more than a tree of them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from docquarry.llm.simhash_dedup import components, linked
 SHINGLE, BANDS, WIDTH = 5, 32, 5
 #: Similarity of a link, at least: 4 / 5.
 PARTS, OF = 4, 5
+#: Shingles that meet in a task, about: buckets of more are split into blocks, and their blocks meet in pairs.
+CELL = 1_000_000
 _made = np.random.default_rng(42)
 FACTORS = _made.integers(0, 2**31, (BANDS * WIDTH, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 TERMS = _made.integers(0, 2**32, (BANDS * WIDTH, 1), np.uint32)
@@ -104,7 +107,54 @@ def verify(ws: Workspace, pairs: DataFrame, texts: DataFrame, name: str) -> Data
     return out
 
 
-def links(ws: Workspace, texts: DataFrame) -> DataFrame:
+def tree(table: pa.Table) -> pa.Table:
+    """(a, b), a > b, of links that join the components (label) of a cell's nodes (print, label, found), as far as they are similar."""
+    table = table.sort_by("print").combine_chunks()
+    prints, (_, of) = table["print"].to_numpy(), np.unique(table["label"].to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["found"].combine_chunks()]
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, edges = np.zeros(tokens.max() + 1, np.int32), []
+    for i in range(len(prints) - 1):
+        if (of == of[0]).all():
+            break
+        if not (of[i + 1 :] != of[i]).any():
+            continue
+        own = tokens[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[tokens[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        mark[own] = 0
+        near = OF * both >= PARTS * (sizes[i] + sizes[i + 1 :] - both)
+        for j in np.flatnonzero(near) + i + 1:
+            if of[j] != of[i]:
+                edges.append((int(prints[j]), int(prints[i])))
+                of[of == of[j]] = of[i]
+    return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def meetings(ws: Workspace, open_: DataFrame, cell: int = CELL) -> DataFrame:
+    """v, key, low, high, print and label of the nodes that meet in each cell; open_ has v, key, print, size and label, saved.
+
+    A bucket of few shingles is one cell. In others, the nodes of the largest component need not meet
+    each other: blocks of the others meet all blocks, those of the largest one only the others'.
+    """
+    parts = open_.groupBy("v", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    tops = parts.groupBy("v", "key").agg(F.max_by("label", "w").alias("top"), F.max("w").alias("w_top"), F.sum("w").alias("w_all"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+    tops = ws.save(tops.where("labels > 1").drop("labels"), "tops")
+    placed = hot_join(open_, tops, ["v", "key"], "n", open_.count())
+    blocks = lambda w: F.ceil(w * 2 / cell).cast("int")
+    ours = F.greatest(blocks(F.col("w_top")), F.lit(1)).alias("ours")
+    others = F.greatest(blocks(F.col("w_all") - F.col("w_top")), F.lit(1)).alias("others")
+    placed = placed.select("v", "key", "print", "label", (F.col("w_all") <= cell).alias("one"), (F.col("label") == F.col("top")).alias("is_top"), ours, others)
+    at = F.when(F.col("is_top"), F.pmod(F.xxhash64("print"), "ours")).otherwise(F.col("ours") + F.pmod(F.xxhash64("print"), "others")).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("one"), F.lit(0)).otherwise(at))
+    last = F.col("ours") + F.col("others") - 1
+    met = F.when(F.col("one"), F.array(F.lit(0))).when(F.col("is_top"), F.sequence(F.col("ours"), last)).otherwise(F.sequence(F.lit(0), last))
+    return placed.select("v", "key", "print", "label", "block", F.explode(met).alias("other")).select("v", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "print", "label")
+
+
+def links(ws: Workspace, texts: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (a, b), a > b, that connect what is similar; texts has _rid, print, size, keys and text, saved."""
     nodes = ws.save(texts.groupBy("print").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
     rows = nodes.select("print", "size", F.posexplode("keys").alias("v", "key"))
@@ -118,16 +168,15 @@ def links(ws: Workspace, texts: DataFrame) -> DataFrame:
     labels = components(ws, edges).select(F.col("a").alias("print"), F.col("b").alias("label"))
     open_ = members.where("n > 2").select("v", "key", "print", "size").join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
     open_ = ws.save(open_, "open")
-    lists = open_.groupBy("v", "key", "label").agg(F.collect_list(F.struct("print", "size")).alias("x"))
-    mixed = open_.groupBy("v", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("v", "key")
-    lists = ws.save(lists.join(mixed, ["v", "key"], "left_semi"), "lists")
-    others = lists.select("v", "key", F.col("label").alias("other"), F.col("x").alias("y"))
-    crossed = lists.join(others, ["v", "key"]).where("label < other").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    crossed = crossed.where(could(F.col("x.size"), F.col("y.size")))
-    rest = crossed.select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
-    rest = ws.save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    out = ws.save(edges.unionAll(verify(ws, rest, texts, "second")), "edges")
-    ws.drop("sets", "buckets", "members", "pairs", "open", "lists", "rest", "stars", "first_links", "second_links")
+    met = ws.save(meetings(ws, open_, cell), "met")
+    uses = met.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    one = texts.select("_rid", "print").join(uses.hint("shuffle_hash"), "print").groupBy("print").agg(F.min("_rid").alias("_rid"), F.first("n").alias("n"))
+    found = texts.join(one.select("_rid").hint("shuffle_hash"), "_rid", "left_semi").select("print", "text").mapInArrow(as_sets, "print long, found binary")
+    found = ws.save(found.join(one.select("print", "n").hint("shuffle_hash"), "print"), "met_sets")
+    cells = hot_join(met, found, ["print"], "n", met.count())
+    more = cells.groupBy("v", "key", "low", "high").applyInArrow(tree, "a long, b long").distinct()
+    out = ws.save(edges.unionAll(more), "edges")
+    ws.drop("sets", "buckets", "members", "pairs", "open", "tops", "met", "met_sets", "stars", "first_links")
     return out
 
 

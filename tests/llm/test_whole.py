@@ -5,10 +5,12 @@ import re
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import pytest
+import xxhash
 from helpers import DATA, rows_of
 from pyspark.sql import functions as F
 
-from docquarry.llm import additive_quantisation, common, kd_sharding, language_id, quotation_links, secret_scan, simhash_dedup
+from docquarry.llm import additive_quantisation, common, jaccard_dedup, kd_sharding, language_id, quotation_links, secret_scan, simhash_dedup
 
 
 def recall(scores, found):
@@ -82,6 +84,43 @@ def test_pipeline_keeps_one_of_each_similar_group(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("cell", [10**6, 1500])
+def test_links_of_a_group_about_the_threshold(spark, cell):
+    """Copies of one text with changes of their own, many pairs of which are just under 0.8, in one cell and in blocks."""
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{x}" for x in range(120)], []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            words[at] = f"c{rng.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k in range(len(rows)):
+        for o in range(k):
+            both = len(sets[k] & sets[o])
+            if both * 5 >= 4 * len(sets[k] | sets[o]):
+                x, y = sorted((root(k), root(o)))
+                parent[y] = x
+    ws = common.Workspace(spark, "group")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [r["text"] for r in docs.collect()]
+    found = [jaccard_dedup.shingles(t) for t in texts]
+    prints = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) for s in found]
+    frame = spark.createDataFrame([(k, p, len(s), jaccard_dedup.band_keys(s).tolist(), t) for k, (p, s, t) in enumerate(zip(prints, found, texts, strict=True))], "_rid long, print long, size int, keys array<long>, text string")
+    edges = jaccard_dedup.links(ws, ws.save(frame, "frame"), cell)
+    labels = {r["a"]: r["b"] for r in simhash_dedup.components(ws, edges).collect()}
+    got = [labels.get(p, p) for p in prints]
+    assert {tuple(k for k in range(120) if got[k] == g) for g in set(got)} == {tuple(k for k in range(120) if root(k) == g) for g in {root(k) for k in range(120)}}
+    assert 1 < len(set(got)) < 120
+
+
 def test_ordinary_words_come_from_all_documents(spark):
     docs = spark.range(4100).selectExpr("id AS doc_id", "concat('word', id) AS text")
     assert secret_scan.ordinary_words(docs).distinct().count() == 4100
