@@ -106,6 +106,14 @@ def decode(column: Column, strategy: str) -> Column:
     return column if strategy == "keep_struct" else as_float(column) if strategy == "float" else as_string(column)
 
 
+def lost_in_double(c: Column) -> Column:
+    """How far a whole number lies above its double: 0 up to 2 ** 53 and for other values, so that equal numbers of any type tie."""
+    whole = F.coalesce(c["int64_value"], c["int32_value"].cast("bigint"))
+    near, most = whole.cast("double"), 2**63 - 1
+    above = F.when(near >= F.lit(float(2**63)), whole - F.lit(most) - 1).otherwise(whole - near.cast("bigint"))  # 2 ** 63 is no bigint
+    return F.when(c["float_value"].isNull() & whole.isNotNull(), above).otherwise(F.lit(0).cast("bigint"))
+
+
 def sort_keys(c: Column) -> list[Column]:
     """Rank by type (null, number, string, document, array, binary, id, bool, time, pattern), then the value of each type. NaN is the largest number."""
     number = F.coalesce(c["float_value"], c["int64_value"].cast("double"), c["int32_value"].cast("double"), c["decimal128_value"].try_cast("double"))
@@ -113,4 +121,4 @@ def sort_keys(c: Column) -> list[Column]:
     rank = F.when(c.isNull() | F.coalesce(c["null_value"], F.lit(False)), F.lit(0))
     for k, v in enumerate(values, 1):
         rank = rank.when(v.isNotNull(), F.lit(k))
-    return [rank.otherwise(F.lit(10)), number, F.coalesce(c["int64_value"], c["int32_value"].cast("bigint")), *values[1:]]  # whole numbers beyond 2 ** 53 stay apart
+    return [rank.otherwise(F.lit(10)), number, lost_in_double(c), *values[1:]]

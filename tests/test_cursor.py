@@ -155,6 +155,22 @@ def test_mixed_values(spark):
         c.find({}).to_df(any_type_strategy="other")
 
 
+#: Equal numbers of different types, and whole numbers that no double tells apart.
+NUMBERS = [5, 4, 5.0, 2**40, 5, float(2**40), 2**53, 2**53 + 1, float(2**53), 2**63 - 1, float(2**63), 2**63 - 2, -(2**63), -float(2**63), -(2**53) - 1, 0, -0.0, 0.0]
+
+
+def mixed_order(spark, way):
+    """Ids of NUMBERS sorted by value, ties by id; as they come and as they should."""
+    df = spark.createDataFrame([(k, T0, encode_value(v)) for k, v in enumerate(NUMBERS)], q.Schema("t", {"id": q.Int(), "t": q.Timestamp("us", None), "v": q.Any()}).to_struct())
+    got = q.Collection(df, time_field="t").find({}).sort([("v", way), ("id", 1)]).to_df().collect()
+    return [r["id"] for r in got], sorted(range(len(NUMBERS)), key=lambda k: (NUMBERS[k] * way, k))
+
+
+def test_equal_numbers_of_other_types_tie(spark):
+    got, want = mixed_order(spark, 1)
+    assert got == want
+
+
 def test_json_source(spark, tmp_path):
     path = tmp_path / "docs.json"
     path.write_text('{"t": "2024-01-01T00:00:00Z", "meta": {"id": "5f", "n": 3}, "extra": 1}\n{"t": "2024-01-02T00:00:00Z", "meta": {"n": null}}\n')
