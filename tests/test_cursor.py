@@ -171,6 +171,11 @@ def test_equal_numbers_of_other_types_tie(spark):
     assert got == want
 
 
+def test_equal_numbers_of_other_types_tie_downwards(spark):
+    got, want = mixed_order(spark, -1)
+    assert got == want
+
+
 def test_json_source(spark, tmp_path):
     path = tmp_path / "docs.json"
     path.write_text('{"t": "2024-01-01T00:00:00Z", "meta": {"id": "5f", "n": 3}, "extra": 1}\n{"t": "2024-01-02T00:00:00Z", "meta": {"n": null}}\n')
