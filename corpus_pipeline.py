@@ -36,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by a similarity of 0.8 of five-word shingles, that of the smallest doc_id."""
+    """Keeps one document of each group linked by op4's fingerprints or a similarity of 0.8 of five-word shingles, that of the smallest doc_id."""
     return jaccard_dedup.dedup(docs, workspace(spark, "dedup"))
 
 

@@ -1,11 +1,13 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles.
-
-Documents of equal shingle sets are one node. A MinHash signature of BANDS * WIDTH values picks the
-candidates: two nodes meet if all WIDTH values of a band are equal, so a pair of similarity 0.8 is missed with
-a chance of (1 - 0.8 ** WIDTH) ** BANDS, about 3 in a million, and a closer one with less. Every link is
-confirmed by the sets themselves. First each node of a bucket is held against the bucket's smallest;
-then, in buckets that the links so far leave in several components, all nodes of different components
-meet, in tasks of about CELL shingles that return links alone, no more than a tree of them.
+"""Near-duplicates by SimHash, as simhash_dedup links them, and by exact Jaccard similarity of five-word shingles.
+
+Documents of equal shingle sets are one node. First come simhash_dedup's links of fingerprints, all of
+them; then those of similar sets, most of which fingerprints miss. For these, a MinHash signature of
+BANDS * WIDTH values picks the candidates: two nodes meet if all WIDTH values of a band are equal, so a
+pair of similarity 0.8 is missed with a chance of (1 - 0.8 ** WIDTH) ** BANDS, about 3 in a million, and a
+closer one with less. Each candidate is confirmed by the sets themselves: each node of a bucket is held
+against the bucket's smallest; then, in buckets that all links so far leave in several components, all
+nodes of different components meet, in tasks of about CELL shingles that return links alone, no more
+than a tree of them.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.llm import simhash_dedup
 from docquarry.llm.common import BROADCAST_ROWS, Workspace, hot_join, slices, with_row_id
-from docquarry.llm.simhash_dedup import components, linked
+from docquarry.llm.simhash_dedup import components, fingerprint, linked
 
 SHINGLE, BANDS, WIDTH = 5, 32, 5
 #: Similarity of a link, at least: 4 / 5.
@@ -70,7 +73,8 @@ def add_keys(text_at: int, names: list[str]):
             sets = [shingles(t.as_py()) for t in batch.column(text_at)]
             prints = pa.array([int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))) for s in sets], pa.int64())
             keys = [band_keys(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names)
+            marks = pa.array([fingerprint(t.as_py()) for t in batch.column(text_at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), marks], names)
 
     return run
 
@@ -94,6 +98,25 @@ def confirmed(batches):
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def fingerprint_links(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, over prints that connect what simhash_dedup links; rows has print and mark, its fingerprint, saved.
+
+    The smallest print of each fingerprint stands for it.
+    """
+    each = ws.save(rows.select("print", "mark").distinct(), "marks")
+    first = ws.save(each.groupBy("mark").agg(F.min("print").alias("first"), F.count(F.lit(1)).alias("n")), "first_prints")
+    equal = hot_join(each, first, ["mark"], "n", each.count()).select("print", "first")
+    near = simhash_dedup.links(ws, first.select(F.col("mark").alias("print")))
+    uses = near.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    of_b = first.select(F.col("mark").alias("b"), F.col("first").alias("to")).join(uses, "b")
+    of_a = first.select(F.col("mark").alias("a"), F.col("first").alias("print"))
+    joined = hot_join(near, of_b, ["b"], "n", near.count()).join(of_a, "a").select("print", F.col("to").alias("first"))
+    pairs = equal.unionAll(joined).where("print <> first")
+    out = ws.save(pairs.select(F.greatest("print", "first").alias("a"), F.least("print", "first").alias("b")).distinct(), "fingerprint_links")
+    ws.drop("marks", "first_prints", "buckets", "members", "middles", "edges")
+    return out
+
+
 def verify(ws: Workspace, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Those of the saved pairs (a, b) that are similar; texts has _rid, print and text, and one row of each print is used."""
     needed = pairs.select(F.col("a").alias("print")).unionAll(pairs.select("b")).distinct()
@@ -154,8 +177,8 @@ def meetings(ws: Workspace, open_: DataFrame, cell: int = CELL) -> DataFrame:
     return placed.select("v", "key", "print", "label", "block", F.explode(met).alias("other")).select("v", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "print", "label")
 
 
-def links(ws: Workspace, texts: DataFrame, cell: int = CELL) -> DataFrame:
-    """Edges (a, b), a > b, that connect what is similar; texts has _rid, print, size, keys and text, saved."""
+def links(ws: Workspace, texts: DataFrame, cell: int = CELL, known: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b), a > b, that connect what is similar; texts has _rid, print, size, keys and text, saved. Known edges are among them."""
     nodes = ws.save(texts.groupBy("print").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
     rows = nodes.select("print", "size", F.posexplode("keys").alias("v", "key"))
     buckets = rows.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("print", "size")).alias("b"))
@@ -165,7 +188,7 @@ def links(ws: Workspace, texts: DataFrame, cell: int = CELL) -> DataFrame:
     could = lambda x, y: (F.least(x, y) * OF >= F.greatest(x, y) * PARTS)  # noqa: E731  sets of other sizes can't be similar
     pairs = ws.save(members.where("print > b").where(could(F.col("size"), F.col("b_size"))).select(F.col("print").alias("a"), "b").distinct(), "pairs")
     edges = verify(ws, pairs, texts, "first")
-    edges = components(ws, edges)  # the same components in stars, so that those of all edges take few steps more
+    edges = components(ws, edges.unionAll(known).distinct() if known else edges)  # the same components in stars, so that those of all edges take few steps more
     labels = edges.select(F.col("a").alias("print"), F.col("b").alias("label"))
     open_ = members.where("n > 2").select("v", "key", "print", "size").join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
     open_ = ws.save(open_, "open")
@@ -177,21 +200,22 @@ def links(ws: Workspace, texts: DataFrame, cell: int = CELL) -> DataFrame:
     cells = hot_join(met, found, ["print"], "n", met.count())
     more = cells.groupBy("v", "key", "low", "high").applyInArrow(tree, "a long, b long").distinct()
     out = ws.save(edges.unionAll(more), "edges")
-    ws.drop("sets", "buckets", "members", "pairs", "open", "tops", "met", "met_sets", "stars", "first_links")
+    ws.drop("sets", "buckets", "members", "pairs", "open", "tops", "met", "met_sets", "stars", "first_links", "fingerprint_links")
     return out
 
 
 def dedup(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """docs with one row of each component of similar documents: the first of its smallest doc_id.
+    """docs with one row of each component of documents linked by fingerprints or similar sets: the first of its smallest doc_id.
 
-    docs needs doc_id and text. Null and blank texts have one empty set and are similar to each other only.
+    docs needs doc_id and text. Null and blank texts have one empty set, similar to no other, and fingerprint 0.
     """
     ws = ws or Workspace(docs.sparkSession, "dedup")
     names = [f"_{i}" for i in range(len(docs.columns))]
     named = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    schema = T.StructType([*named.schema.fields, T.StructField("print", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*named.schema.fields, T.StructField("print", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("mark", T.LongType())])
     kept = ws.save(with_row_id(named.mapInArrow(add_keys(docs.columns.index("text"), schema.names), schema)), "documents")
-    edges = links(ws, kept.select("_rid", "print", "size", "keys", F.col(names[docs.columns.index("text")]).alias("text")))
+    known = fingerprint_links(ws, kept)
+    edges = links(ws, kept.select("_rid", "print", "size", "keys", F.col(names[docs.columns.index("text")]).alias("text")), known=known)
     prints = kept.select("_rid", F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), "print")
     chosen = linked(ws, prints, edges=edges).select(F.col("keep").alias("_rid")).distinct()
     return kept.join(chosen.hint("shuffle_hash"), "_rid", "left_semi").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -84,6 +84,37 @@ def test_pipeline_keeps_one_of_each_similar_group(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_pipeline_links_by_fingerprints_too(spark):
+    """Texts that share a passage many times have near fingerprints, but sets of a similarity far under 0.8."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(6):
+        passage = " ".join(f"p{x}" for x in rng.integers(0, 10**6, 40))
+        rows += [" ".join([*[passage] * 40, *(f"t{x}" for x in rng.integers(0, 10**6, 80))]) for _ in range(3)]
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        rows += [" ".join([*base[:at], "other", *base[at + 1 :]]) for at in (20, 70, 120)]
+    rows += [rows[0].upper(), "", None, "two words"]
+    n = len(rows)
+    prints, sets = [simhash_dedup.fingerprint(t) for t in rows], [shingle_set(t or "") for t in rows]
+    by_print = [[(prints[a] ^ prints[b]) % 2**64 for b in range(n)] for a in range(n)]
+    by_print = [[x.bit_count() <= 4 for x in line] for line in by_print]
+    by_set = [[sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for b in range(n)] for a in range(n)]
+
+    def kept(near):
+        label = list(range(n))
+        for _ in range(n):
+            for a in range(n):
+                label[a] = min(label[b] for b in range(n) if near[a][b])
+        return sorted(set(label))
+
+    want = kept([[x or y for x, y in zip(*lines, strict=True)] for lines in zip(by_print, by_set, strict=True)])
+    assert set(want) < set(kept(by_print)) and set(want) < set(kept(by_set))
+    docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, DATA).collect()) == want
+    linked = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect()}
+    assert len({linked[k] for k in want}) == len(want)  # one at most of each of op4's components
+
+
 @pytest.mark.parametrize("cell", [10**6, 1500])
 def test_links_of_a_group_about_the_threshold(spark, cell):
     """Copies of one text with changes of their own, many pairs of which are just under 0.8, in one cell and in blocks."""
