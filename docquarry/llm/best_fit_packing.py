@@ -34,7 +34,7 @@ GROUPS, LARGE = (6, 12, 24), 8
 #: Cells that the pieces of a length are numbered in, at least, and about how many of them one may get.
 SALTS, CELL_PIECES = 64, 500_000
 #: Entries of a worker's cache before it becomes the old one; longer words are not kept; words encoded at a time.
-CACHED, LONG, AT_A_TIME = 150_000, 64, 5000
+CACHED, LONG, AT_A_TIME = 250_000, 64, 5000
 #: Texts that are not taken apart: those with letters whose small forms depend on more than themselves, and with runs of punctuation.
 FAR = re.compile("[^\\x00-\u012f]")
 RUN = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])")

@@ -148,6 +148,15 @@ def test_encoder_equals_the_tokenizer():
         best_fit_packing.CACHED = before
 
 
+def test_encoder_keeps_a_large_vocabulary(monkeypatch):
+    encoder = best_fit_packing.Encoder(best_fit_packing.tokenizer_path())
+    texts = [" ".join(f"w{k}" for k in range(low, low + 5000)) for low in range(0, 240_000, 5000)]
+    before = [encoder.encode([t]) for t in texts]
+    again = []
+    monkeypatch.setattr(encoder, "learn", lambda words: again.extend(words) or dict.fromkeys(words, b""))
+    assert [encoder.encode([t]) for t in texts] == before and not again
+
+
 def test_mixing(odd, empty, spark):
     rows = source_mixing.systematic_mix(odd).collect()
     assert len(rows) == 10 and all(0 <= r["copies"] <= 2 for r in rows) and {r["kept"]["target"] for r in rows} == {"clash"}
