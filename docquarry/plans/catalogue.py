@@ -68,9 +68,10 @@ def event_sql(condition: str, nulls: bool = False) -> str:
 
 
 def mixed(df: DataFrame) -> DataFrame:
-    """Events with a mixed-type column v: number, whole number, string, bool or null by event_id."""
-    k = F.col("event_id") % 5
-    v = mixed_case((k == 0, F.col("value"), T.DoubleType()), (k == 1, F.col("user_id").cast("int"), T.IntegerType()), (k == 2, F.col("event_type"), T.StringType()), (k == 3, F.col("value") > 10, T.BooleanType()))
+    """Events with a mixed-type column v: number, whole number (of 64 bits, if 32 are too few), string, bool or null by event_id."""
+    k, short = F.col("event_id") % 5, F.col("user_id").try_cast("int")
+    whole = ((k == 1) & short.isNotNull(), short, T.IntegerType()), (k == 1, F.col("user_id"), T.LongType())
+    v = mixed_case((k == 0, F.col("value"), T.DoubleType()), *whole, (k == 2, F.col("event_type"), T.StringType()), (k == 3, F.col("value") > 10, T.BooleanType()))
     return df.withColumn("v", v)
 
 
@@ -85,12 +86,13 @@ def position(df: DataFrame, order: list) -> DataFrame:
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
     df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
     ranges = spark.read.parquet(path)
-    counts, before = ranges.groupBy("_part").count().orderBy("_part").collect(), 0
-    base = F.lit(0)
-    for r in counts:
-        base, before = F.when(F.col("_part") == r["_part"], F.lit(before)).otherwise(base), before + r["count"]
+    starts, before = [], 0
+    for r in ranges.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((r["_part"], before))
+        before += r["count"]
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranges.withColumn("position", (base + within).cast("long"))
+    numbered = ranges.join(F.broadcast(spark.createDataFrame(starts, "_part int, _before long")), "_part")
+    return numbered.withColumn("position", F.col("_before") + within)
 
 
 def sorted_events(sort: object, nulls: bool = False) -> Callable:

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from helpers import DATA, rows_of
 
@@ -12,6 +13,28 @@ def test_query_matches_its_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", ["any_sort", "any_sort_desc"])
+def test_mixed_order_of_whole_numbers_of_64_bits(spark, duck, tmp_path, name):
+    run, sql = catalogue.CATALOGUE[name]
+    duck.execute(f"COPY (SELECT * REPLACE (value // 10 AS value, CASE WHEN event_id % 3 = 0 THEN user_id + 4294967296 ELSE value::BIGINT // 10 END AS user_id) FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = duckdb.connect().execute(f"WITH events AS (FROM '{tmp_path}/events.parquet') {sql}").df()
+    assert rows_of(run(spark, str(tmp_path)).toPandas()) == rows_of(want)
+
+
+def test_positions_over_many_ranges(spark, duck):
+    run, sql = catalogue.CATALOGUE["any_sort_desc"]
+    changed = {"spark.sql.shuffle.partitions": "700", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = run(spark, DATA)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert rows_of(got.toPandas()) == rows_of(duck.execute(sql).df())
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
