@@ -188,7 +188,7 @@ def links(ws: Workspace, texts: DataFrame, cell: int = CELL, known: DataFrame |
     could = lambda x, y: (F.least(x, y) * OF >= F.greatest(x, y) * PARTS)  # noqa: E731  sets of other sizes can't be similar
     pairs = ws.save(members.where("print > b").where(could(F.col("size"), F.col("b_size"))).select(F.col("print").alias("a"), "b").distinct(), "pairs")
     edges = verify(ws, pairs, texts, "first")
-    edges = components(ws, edges.unionAll(known).distinct() if known else edges)  # the same components in stars, so that those of all edges take few steps more
+    edges = components(ws, edges.unionAll(known) if known else edges)
     labels = edges.select(F.col("a").alias("print"), F.col("b").alias("label"))
     open_ = members.where("n > 2").select("v", "key", "print", "size").join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
     open_ = ws.save(open_, "open")

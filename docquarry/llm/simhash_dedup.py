@@ -29,6 +29,8 @@ SQL = None  # SQL has no XXH64: held against brute force in the tests
 SHINGLE, RADIUS, BITS = 4, 4, 64
 #: The most members of a bucket that one task links directly.
 LARGE = 8192
+#: The most edges whose components one task finds.
+FOREST = 1_000_000
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -144,14 +146,54 @@ def star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(a, b) for every node but the smallest of its component, which b is: alternating large and small stars."""
+def forest(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(a, b) for every node but the smallest of its component among these edges (a, b), which b is."""
+    a, b = (np.concatenate([x.column(k).to_numpy() for x in edges]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)
+        while (root != (further := root[root])).any():
+            root = further
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    moved = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+
+def forests(most: int):
+    """Edges to the forests of each run of them: one forest for each task, if it has no more than `most`."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > most:
+                yield forest(held)
+                held, n = [], 0
+        if n:
+            yield forest(held)
+
+    return run
+
+
+def components(ws: Workspace, edges: DataFrame, most: int = FOREST) -> DataFrame:
+    """(a, b) for every node but the smallest of its component, which b is.
+
+    Each task turns its edges into a forest. If no more than `most` are left, one task joins these;
+    else alternating large and small stars do, in many more stages.
+    """
 
     def signature(df: DataFrame):
         n, check = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         return n, check
 
+    edges = ws.save(edges.select("a", "b").mapInArrow(forests(most), "a long, b long"), "stars/forests")
     now, k = signature(edges), 0
+    if now[0] <= most:
+        return ws.save(edges.coalesce(1).mapInArrow(forests(most), "a long, b long"), "stars/joined")
     while now[0]:
         moved = ws.save(star(edges, now[0], large=True), f"stars/large{k}")
         edges = ws.save(star(moved, now[0], large=False), f"stars/small{k}")

@@ -127,6 +127,26 @@ def test_links_of_dense_groups(spark, large):
     assert {p: labels.get(p, p) for p in prints} == {p: root(p) for p in prints}
 
 
+@pytest.mark.parametrize("most", [1_000_000, 30])
+def test_components_of_long_chains(spark, most):
+    """Chains of shuffled ids over several partitions: right in one task or by stars, and in few jobs if one task can take them."""
+    rng = np.random.default_rng(11)
+    chains = rng.permutation(np.concatenate((np.arange(-150, 150), [-(2**63), 2**63 - 1]))).reshape(2, -1)
+    pairs = [(int(max(x, y)), int(min(x, y))) for chain in chains for x, y in zip(chain, chain[1:], strict=False)]
+    edges = spark.createDataFrame([pairs[i] for i in rng.permutation(len(pairs))], "a long, b long").repartition(8)
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    found = simhash_dedup.components(common.Workspace(spark, "test"), edges, *[most] * (most < 1_000_000))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, found.collect())) == sorted((int(x), int(min(chain))) for chain in chains for x in chain if x != min(chain))
+    if most == 1_000_000:
+        assert 0 < len(context.statusTracker().getJobIdsForGroup("components")) <= 6
+
+
+def test_components_of_no_edges(spark):
+    assert simhash_dedup.components(common.Workspace(spark, "test"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_packing(odd, empty):
     path = best_fit_packing.tokenizer_path()
     rows = best_fit_packing.pack(odd, path).collect()
