@@ -243,8 +243,12 @@ class Cursor:
         if rows:
             yield made()
 
-    def stream_to_callback(self, callback: Callable, *, partition_time_delta: dt.timedelta, partition_by: str | list[str] | None = None, any_type_strategy: str = "float", max_workers: int = 4, start_date=None, end_date=None, coerce: str = "raise", cache_root: str | None = None, cache_read: bool = True, cache_write: bool = True, **settings) -> dict:
-        """Calls callback(arrow_table, metadata) for every time bucket and combination of key values."""
+    def stream_to_callback(self, callback: Callable, *, partition_time_delta: dt.timedelta, partition_by: str | list[str] | None = None, any_type_strategy: str = "float", max_workers: int = 4, start_date=None, end_date=None, coerce: str = "raise", cache_root: str | None = None, cache_read: bool = True, cache_write: bool = True, on_executors: bool = False, **settings) -> dict:
+        """Calls callback(arrow_table, metadata) for every time bucket and combination of key values.
+
+        On the driver all rows pass through it, max_workers partitions at once. On the executors the callback is
+        pickled, Spark schedules the calls and only counts come to the driver.
+        """
         self._options(max_workers=max_workers, **settings)
         schema = self.collection.schema
         if self._skip or self._limit:
@@ -261,7 +265,10 @@ class Cursor:
         began = time.time()
         df = self._frame(start_date, end_date, any_type_strategy, coerce, cache_root, cache_read, cache_write)
         spent = time.time() - began
-        found = buckets.call_partitions(df, callback, schema.time_field, partition_time_delta, keys, max_workers)
+        if on_executors:
+            found = buckets.call_on_executors(df, callback, schema.time_field, partition_time_delta, keys)
+        else:
+            found = buckets.call_partitions(df, callback, schema.time_field, partition_time_delta, keys, max_workers)
         return found | {"cache_duration_s": spent, "duration_s": time.time() - began}
 
     def explain(self, plan: bool = True, max_workers: int = 4, chunking_granularity: dt.timedelta | None = None, row_group_size: int | None = None, flush_ram_limit_mb: int = 512) -> dict:

@@ -35,6 +35,30 @@ def test_positions_over_many_ranges(spark, duck):
     assert rows_of(got.toPandas()) == rows_of(duck.execute(sql).df())
 
 
+def sent_to_driver(spark, run):
+    """Bytes of task results, less 10,000 of each task, while run() does."""
+
+    def stages():
+        gateway = spark.sparkContext._gateway
+        none = gateway.jvm.java.util.ArrayList()
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return {(s.stageId(), s.attemptId()): max(0, s.resultSize() - 10_000 * s.numCompleteTasks()) for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    stages()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_callbacks_on_executors_leave_rows_there(spark, duck, tmp_path):
+    duck.execute(f"COPY (SELECT * REPLACE (event_id + 1000 * k AS event_id) FROM events, range(100) AS t(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = []
+    sent = sent_to_driver(spark, lambda: found.extend(catalogue.CATALOGUE["cb_summary"][0](spark, str(tmp_path)).collect()))
+    assert {r["what"]: r["n"] for r in found}["total_rows"] == duck.execute(f"SELECT count(*) FROM '{tmp_path}/events.parquet'").fetchone()[0]
+    assert sent < 100_000
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,51 @@ def test_buckets_and_callbacks(sensors):
         buckets.seconds_of(dt.timedelta(milliseconds=5))
 
 
+def keeping(folder):
+    """A callback that keeps what it gets in files."""
+
+    def keep(table, about):
+        with open(f"{folder}/{about['partition_index']}", "xb") as f:
+            pickle.dump((table.combine_chunks(), about), f)
+
+    return keep, lambda: [pickle.loads((folder / str(i)).read_bytes()) for i in range(len(list(folder.iterdir())))]
+
+
+def test_callbacks_on_executors(spark, tmp_path):
+    rows = [(T0 + (k * 7 % 30) * HOUR, k * 7 % 30, "abc"[k % 3] if k % 5 else None, (k, "x"), k, k % 2) for k in range(30)] + [(None, -1, "a", None, 99, 0)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, n long, `meta.device` string, s struct<a: long, b: string>, _bucket long, _index long")
+    c, got = q.Collection(df.repartition(3), time_field="t", name="odd"), []
+    for by in ("meta.device", ["meta.device", "n"], None):
+        out = []
+        for on_executors in (False, True):
+            folder = tmp_path / f"{on_executors}-{len(got)}-{by}"
+            folder.mkdir()
+            keep, kept = keeping(folder)
+            found = c.find({}).stream_to_callback(keep, partition_time_delta=dt.timedelta(hours=10), partition_by=by, on_executors=on_executors)
+            out.append(({k: n for k, n in found.items() if not k.endswith("_s")}, kept()))
+        (sums, parts), (other_sums, other_parts) = out
+        assert sums == other_sums and sums["total_rows"] == 30 and sums["skipped_partitions"] == 1 and sums["total_partitions"] == len(parts) == len(other_parts)
+        for (table, about), (other, other_about) in zip(parts, other_parts, strict=True):
+            assert about == other_about and about["row_count"] == table.num_rows and table.column_names == df.columns
+            assert table.equals(other)
+        got.append(sums["total_partitions"])
+    assert got == [12, 30, 3]
+    with pytest.raises(RuntimeError, match="partition 1 .*ZeroDivisionError"):
+        c.find({}).stream_to_callback(lambda _, about: about["partition_index"] == 1 and 1 / 0, partition_time_delta=dt.timedelta(hours=10), on_executors=True)
+    assert c.find({"n": {"$gt": 99}}).stream_to_callback(print, partition_time_delta=HOUR, on_executors=True)["total_partitions"] == 0
+
+
+def test_wide_partitions_on_executors_are_in_order(spark, tmp_path):
+    """Places of partition and time beyond 63 bits are coarser than the times."""
+    df = spark.range(4000).selectExpr("timestamp_ntz'2024-01-15' + make_dt_interval(0, 0, 0, (id * 7919) % 4000 / 1000) AS t", "id % 800 AS k", "id")
+    folder = tmp_path / "kept"
+    folder.mkdir()
+    keep, kept = keeping(folder)
+    q.Collection(df, time_field="t", name="wide").find({}).stream_to_callback(keep, partition_time_delta=dt.timedelta(days=100_000), partition_by="k", on_executors=True)
+    parts = [(about["partition_values"]["k"], table["k"].to_pylist(), table["t"].to_pylist()) for table, about in kept()]
+    assert [k for k, _, _ in parts] == list(range(800)) and all(ks == [k] * 5 and ts == sorted(ts) for k, ks, ts in parts)
+
+
 def test_partitioned_write(spark, sensors, tmp_path):
     buckets.write_partitioned(sensors.frame().select("t", "value"), str(tmp_path / "out"), "t", dt.timedelta(days=1))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 31
